@@ -66,6 +66,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows: int = 200_000) -> DataFrame:
+    """df without the rows whose key is in ids; rows with a null key stay. ids is counted, and broadcast only up to broadcast_rows rows of one long."""
+    ids = stored(ids.select(key).dropna().distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_anti")
+
+
 class Texts:
     """A text column as bytes: data, and offsets with one entry more than there are rows. Null counts as empty."""
 

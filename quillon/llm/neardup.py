@@ -20,7 +20,8 @@ At a similarity of 0.85 a pair has a common prefix of 4 in one of the 24 trees w
 probability above 0.9999999.
 
 Defined results: a null text, an empty text or one without words has an empty set,
-links with nothing and is its own component. doc_id is a document's identity:
+links with nothing and is its own component; a row with a null doc_id links with
+nothing, has a null component and is kept. doc_id is a document's identity:
 repeated rows of an id are one document (their texts' shingles count for the row
 they are in, all get the id's component). An empty table gives no rows. Extra
 columns are ignored.
@@ -228,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     signed = stored(signatures(documents, k), "signatures")
-    classes = stored(signed.filter("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
+    classes = stored(signed.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
     pairs = stored(candidates(classes.select("doc_id", "signature")), "pairs")
     # one candidate for each class first, the one most trees agree on
     best = pairs.groupBy("b").agg(F.max(F.struct(F.col("trees"), (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
@@ -242,7 +243,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, k: int = S
     of_class = classes.select("set_hash", F.col("doc_id").alias("class_id")).join(joined.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     of_class = of_class.select("set_hash", F.coalesce("component_id", "class_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
