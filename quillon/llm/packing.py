@@ -16,7 +16,6 @@ packed each. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -26,60 +25,131 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Texts, arrow_map, pick, stored
+from quillon.llm.common import LOWER, Texts, arrow_map, pick, stored, word_hashes, words
 
 SIZE = 2048
-CACHE_WORDS = 200_000
-ROWS_PER_GROUP = 20_000
+CACHE_UNITS = 200_000
+ROWS_PER_GROUP, MOST_GROUPS = 1000, 4096
 
+_LETTER, _DIGIT, _OTHER, _SPACE = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*b"abcdefghijklmnopqrstuvwxyz", 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_CLASS[[*b"0123456789"]] = _DIGIT
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_ODD = np.zeros(256, bool)  # ASCII that the rule of parts() doesn't cover: control characters and the apostrophe
+_ODD[[*range(0x09), *range(0x0E, 0x20), 0x27, 0x7F]] = True
 
-@functools.cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units that a lower-casing word tokenizer encodes each on its own: (bytes, starts, ends, first unit of each row, plain).
 
-
-_cache: dict[str, dict[bytes, bytes]] = {}
-
-
-def token_bytes(path: str, texts: list[bytes]) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order, and a
-    word's ids are kept for the next time it comes (a bounded number of words; what is kept has no effect on results).
+    A word of ASCII and of the letters U+00C0 to U+00FF falls into runs of letters, single digits and runs of other signs,
+    lower-cased here. Any other word (other scripts, apostrophes, what may hold a special token) is one unit, unchanged.
     """
-    known = _cache.setdefault(path, {})
-    split = [t.split() for t in texts]
-    missing = list({w for ws in split for w in ws if w not in known})
-    if len(known) + len(missing) > CACHE_WORDS:
-        known.clear()
-        missing = list({w for ws in split for w in ws})
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for w, e in zip(part, _tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+    low = LOWER[data]
+    lead = np.zeros(len(data), bool)  # the byte before is 0xC3
+    lead[1:] = low[:-1] == 0xC3
+    low = np.where(lead & (low >= 0x80) & (low <= 0x9E) & (low != 0x97), low + 0x20, low).astype(np.uint8)
+    odd = _ODD[data] | (low >= 0x80) & ~(lead & (low >= 0x9F) & (low <= 0xBF) & (low != 0xB7)) & (low != 0xC3)
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    starts, ends, first = words(data, offsets, _CLASS != _SPACE)
+    bad = np.flatnonzero(odd)
+    strange = np.zeros(len(starts), bool)
+    strange[np.searchsorted(starts, bad, "right") - 1] = True
+    kind = _CLASS[low]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    for k in np.flatnonzero(strange):
+        low[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+        cut[starts[k] : ends[k]] = False
+    cut[starts] = True
+    begin = np.flatnonzero(cut[:-1] & (kind != _SPACE))
+    word = np.searchsorted(starts, begin, "right") - 1
+    end = np.append(begin[1:], len(data))
+    end = np.minimum(end, ends[word]) if len(begin) else end[:0]
+    return low, begin, end, np.searchsorted(begin, offsets), ~strange[word]
+
+
+class Encoder:
+    """Token ids of texts, from the ids of their units; those of the last units seen are kept (it has no effect on results)."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a unit
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _one(self, unit: str) -> bytes:
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encoded(self, units: list[str], plain: list[bool]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(units)
+        easy = [k for k, x in enumerate(plain) if x]
+        for lo in range(0, len(easy), 1000):
+            part = easy[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join([units[k] for k in part]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                for n, k in enumerate(part):
+                    out[k] = raw[at[n] : at[n + 1]]
+            else:  # a tokenizer without such tokens
+                for k in part:
+                    out[k] = self._one(units[k])
+        for k, x in enumerate(plain):
+            if not x:
+                out[k] = self._one(units[k])
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after the other, and where each row's begin (and one more)."""
+        low, begin, end, first, plain = parts(data, offsets)
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        hashes, at, unit = np.unique(word_hashes(low, begin, end), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        young, old = self.young, self.old
+        found = [young.get(x) or old.get(x) for x in keys]
+        new = [k for k, x in enumerate(found) if x is None]
+        raw = low.tobytes()
+        texts = [raw[begin[i] : end[i]].decode() for i in at[new].tolist()] if new else []
+        for k, x in zip(new, self._encoded(texts, plain[at[new]].tolist()), strict=True):
+            found[k] = x
+        if len(young) + len(keys) > CACHE_UNITS:
+            self.old, self.young = young, {}
+        self.young.update(zip(keys, found, strict=True))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        count = size[unit]
+        total = np.concatenate(([0], np.cumsum(count)))
+        return ids[np.repeat(start[unit] - total[:-1], count) + np.arange(total[-1])], total[first]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
 
     def work(batch):
-        ids, t = batch["doc_id"].to_numpy(zero_copy_only=False), Texts(batch["text"])
-        null = batch["doc_id"].null_count > 0
-        for i, _, data, offsets in t.chunks(1 << 20):
-            raw = data.tobytes()
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = Encoder(tokenizer)
+        for i, _, data, offsets in Texts(batch["text"]).chunks():
+            ids, at = _encoders[tokenizer].encode(data, offsets)
+            raw = ids.tobytes()
             out = []
-            for k, b in enumerate(token_bytes(tokenizer, [raw[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)])):
-                b += b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(b), 4 * size)):
-                    part = b[at : at + 4 * size]
-                    out.append((i + k, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for k, (a, z) in enumerate(zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), strict=True)):
+                b = raw[a:z] + b"\0\0\0\0"
+                for piece, x in enumerate(range(0, len(b), 4 * size)):
+                    part = b[x : x + 4 * size]
+                    out.append((i + k, piece, x // 4, len(part) // 4, zlib.crc32(part)))
             row, *rest = zip(*out, strict=True)
-            doc = batch["doc_id"].take(pa.array(row)) if null else ids[list(row)]
-            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), (doc, *rest), strict=True))
+            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), (batch["doc_id"].take(pa.array(row)), *rest), strict=True))
 
     return arrow_map(pick(documents, "doc_id", "text"), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -185,7 +255,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     spark = documents.sparkSession
     cut = stored(pieces(documents, tokenizer, size), "pieces")
     rows = cut.count()
-    groups = max(1, -(-rows // ROWS_PER_GROUP))
+    groups = min(MOST_GROUPS, max(1, rows // ROWS_PER_GROUP))  # a length with a third of all pieces is dealt to as many groups
     salted = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     counts = salted.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("n"))
     lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
