@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, NOT_SPACE, Texts, U, arrow_map, dropped, mixed, pick, stored, word_hashes, words
+from quillon.llm.common import LOWER, NOT_SPACE, Texts, U, arrow_map, dropped, mixed, pick, squeezed, stored, unsqueezed, word_hashes, words
 
 SHINGLE, THRESHOLD = 3, 85
 TREES, DEPTH, MIN_PREFIX = 24, 6, 4
@@ -174,20 +174,24 @@ def candidates(classes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
 
 
-def links(pairs: DataFrame, documents: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets are similar enough."""
+def texts_of(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, z, size of the documents that occur in pairs."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = pick(documents, "doc_id", "text").join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    texts = squeezed(pick(documents, "doc_id", "text").filter("doc_id is not null")).join(ends.hint("merge"), "doc_id", "left_semi")
+    return stored(texts.groupBy("doc_id").agg(F.min(F.struct("size", "z")).alias("t")).select("doc_id", "t.*"), "texts")
+
+
+def links(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """Of pairs (a, b), those whose full shingle sets are similar enough; texts from texts_of()."""
+    named = lambda x: texts.select(F.col("doc_id").alias(x), F.col("z").alias(f"z_{x}"), F.col("size").alias(f"size_{x}"))
+    both = pairs.select("a", "b").hint("merge").join(named("a"), "a").hint("merge").join(named("b"), "b")
 
     def work(batch):
         n = batch.num_rows
         sets = []
-        for name in ("text_a", "text_b"):
+        for x in "ab":
             row, value, size = [], [], np.zeros(n, np.int64)
-            for i, j, s, ends in shingle_sets(Texts(batch[name]), k):
+            for i, j, s, ends in shingle_sets(unsqueezed(batch[f"z_{x}"], batch[f"size_{x}"]), k):
                 size[i:j] = np.diff(np.concatenate(([0], ends)))
                 row.append(np.repeat(np.arange(i, j), size[i:j])), value.append(s)
             sets.append((np.concatenate(row), np.concatenate(value), size))
@@ -233,13 +237,14 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, k: int = S
     pairs = stored(candidates(classes.select("doc_id", "signature")), "pairs")
     # one candidate for each class first, the one most trees agree on
     best = pairs.groupBy("b").agg(F.max(F.struct(F.col("trees"), (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
-    first = stored(links(best, documents, threshold, k), "links")
+    texts = texts_of(pairs, documents)
+    first = stored(links(best, texts, threshold, k), "links")
     joined = components(first)
     named = lambda end: joined.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"of_{end}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     rest = stored(rest.filter("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "rest")
     if not rest.isEmpty():
-        joined = components(first.unionByName(links(rest, documents, threshold, k)))
+        joined = components(first.unionByName(links(rest, texts, threshold, k)))
     of_class = classes.select("set_hash", F.col("doc_id").alias("class_id")).join(joined.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     of_class = of_class.select("set_hash", F.coalesce("component_id", "class_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Rolling, Texts, U, arrow_map, mixed, stored
+from quillon.llm.common import Rolling, Texts, U, arrow_map, mixed, squeezed, stored, unsqueezed
 
-CROWD = 4096
+CROWD = 32_768  # at most 24 MB of texts
 TASK_BYTES = 4 << 20
 _AT = U((1 << 34) - 1)
 RUNS = "h long, sp long, doc long, tid long, a long, t int, m int"
@@ -77,9 +77,10 @@ class Windows:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """doc, tid, text: rows that repeat both id and text are alike; a null id counts as the smallest."""
+    """doc, tid, text. tid tells rows of one doc_id apart by their text, and is 0 where ids don't repeat; a null id counts as the smallest."""
     text = F.coalesce(F.col("`text`"), F.lit(""))
-    return documents.select(F.coalesce(F.col("`doc_id`"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    repeat = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return documents.select(F.coalesce(F.col("`doc_id`"), F.lit(NO_DOC)).alias("doc"), (F.lit(0).cast("long") if repeat else F.xxhash64(text)).alias("tid"), text.alias("text"))
 
 
 def _all_runs(documents: DataFrame, how: Windows) -> DataFrame:
@@ -96,14 +97,14 @@ def _all_runs(documents: DataFrame, how: Windows) -> DataFrame:
 def _with_texts(documents: DataFrame, reps: DataFrame, how: Windows, make: Callable, schema: str) -> DataFrame:
     """make(row's runs, values, elements' bytes, roll) for the documents of reps (doc, tid, h, sp, a, t, m)."""
     per = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("h", "sp", "a", "t", "m")).alias("runs"))  # some runs of one document
-    texts = documents.join(per, ["doc", "tid"])  # a repeated row gives its runs again, which changes no result
+    texts = documents.join(per.hint("merge"), ["doc", "tid"])  # a repeated row gives its runs again, which changes no result
 
     def work(batch):
         doc, tid = batch["doc"].to_numpy(), batch["tid"].to_numpy()
         found = batch["runs"]
         flat, ends = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
         columns = {n: flat.field(n).to_numpy() for n in ("h", "sp", "a", "t", "m")}
-        for i, j, values, first, raw in how.split(Texts(batch["text"])):
+        for i, j, values, first, raw in how.split(unsqueezed(batch["z"], batch["size"])):
             lo, hi = ends[i], ends[j]
             row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
             r = {n: c[lo:hi] for n, c in columns.items()}
@@ -174,16 +175,17 @@ def _compared(spans: DataFrame, how: Windows) -> DataFrame:
     return spans.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "doc long, tid long, start long, end long")
 
 
-def repeated(documents: DataFrame, how: Windows) -> DataFrame:
-    """(doc, tid, start, end): pieces that cover exactly the elements of repeated windows (for `earlier`: of windows that also start in a smaller doc)."""
-    docs = _keyed(documents)
-    rows = stored(_all_runs(docs, how), "runs")
+def repeated(documents: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc, tid, z, size) and pieces (doc, tid, start, end) that cover exactly the elements of repeated windows (for `earlier`: of windows that also start in a smaller doc)."""
+    keyed = _keyed(documents)
+    docs = squeezed(keyed)
+    rows = stored(_all_runs(keyed, how), "runs")
     out = None
     for block in (how.block, 1, 0):
         per = rows.groupBy("h", "sp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tid", "a", "t", "m")).alias("rep"))
         classes = stored(per.select("h", "sp", "n", "rep.*"), "classes")
         again = classes.filter("n > 1").select("h", "sp", F.col("doc").alias("least"))
-        whole = rows.join(again, ["h", "sp"])
+        whole = rows.join(again.hint("merge"), ["h", "sp"])
         if how.earlier:
             whole = whole.filter("doc > least")
         whole = whole.select("doc", "tid", F.col("a").alias("start"), (F.col("a") + F.col("m") + how.w).alias("end"))
@@ -191,21 +193,25 @@ def repeated(documents: DataFrame, how: Windows) -> DataFrame:
         if not block:
             break
         anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single")).filter("classes > 1" if how.earlier else "classes > 1 and single > 0")
-        mixed_anchors = stored(classes.join(anchors.select("h", "classes"), "h"), "anchors")
+        mixed_anchors = stored(classes.join(anchors.select("h", "classes").hint("merge"), "h"), "anchors")
         some = mixed_anchors.filter(F.col("classes") <= CROWD)
         out = out.unionByName(_compared(_spans(docs, some, how), how))
         crowded = mixed_anchors.filter(F.col("classes") > CROWD)
         if crowded.isEmpty():
             break
         rows = stored(_cut(docs, crowded, how, block), "runs")
-    return out
+    return docs, out
 
 
 def with_pieces(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """documents with their pieces in _start and _end, arrays that are null where there are none."""
-    per = pieces.groupBy("doc", "tid").agg(F.collect_list("start").alias("_start"), F.collect_list("end").alias("_end"))
-    keyed = documents.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"))
-    return keyed.join(per, ["doc", "tid"], "left").select("doc_id", "text", "_start", "_end")
+    """documents with their pieces in start and end, arrays that are null where there are none."""
+    per = pieces.groupBy("doc", "tid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    return documents.join(per.hint("merge"), ["doc", "tid"], "left")
+
+
+def doc_ids(batch: pa.RecordBatch) -> pa.Array:
+    doc = batch["doc"].to_numpy()
+    return pa.array(doc, mask=doc == NO_DOC)
 
 
 def removed(n: int, start: list, end: list) -> np.ndarray:

@@ -20,8 +20,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import NOT_SPACE, Texts, arrow_map, pick, word_hashes, words
-from quillon.llm.repeats import Windows, removed, repeated, with_pieces
+from quillon.llm.common import NOT_SPACE, Texts, arrow_map, pick, unsqueezed, word_hashes, words
+from quillon.llm.repeats import Windows, doc_ids, removed, repeated, with_pieces
 
 LENGTH, GRAM, BLOCK = 50, 8, 8
 
@@ -71,8 +71,8 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     documents = pick(documents, "doc_id", "text")
 
     def work(batch):
-        start, end = batch["_start"].to_pylist(), batch["_end"].to_pylist()
-        for i, j, data, offsets in Texts(batch["text"]).chunks():
+        ids, start, end = doc_ids(batch), batch["start"].to_pylist(), batch["end"].to_pylist()
+        for i, j, data, offsets in unsqueezed(batch["z"], batch["size"]).chunks():
             raw = data.tobytes()
             rows = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "kept")}
             for k in range(j - i):
@@ -84,9 +84,9 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
                 joined = b" ".join(kept)
                 for n, x in zip(rows, (len(text), len(text) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()), strict=True):
                     rows[n].append(x)
-            yield {"doc_id": batch["doc_id"].slice(i, j - i)} | rows
+            yield {"doc_id": ids.slice(i, j - i)} | rows
 
-    return arrow_map(with_pieces(documents, repeated(documents, WINDOWS)), work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return arrow_map(with_pieces(*repeated(documents, WINDOWS)), work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

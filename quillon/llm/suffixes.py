@@ -22,8 +22,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import BYTE_VALUES, Texts, arrow_map, pick
-from quillon.llm.repeats import Windows, removed, repeated, with_pieces
+from quillon.llm.common import BYTE_VALUES, Texts, arrow_map, pick, unsqueezed
+from quillon.llm.repeats import Windows, doc_ids, removed, repeated, with_pieces
 
 LENGTH, GRAM, BLOCK = 400, 64, 32
 
@@ -94,8 +94,8 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
     documents = pick(documents, "doc_id", "text")
 
     def work(batch):
-        start, end = batch["_start"].to_pylist(), batch["_end"].to_pylist()
-        for i, j, data, offsets in Texts(batch["text"]).chunks():
+        ids, start, end = doc_ids(batch), batch["start"].to_pylist(), batch["end"].to_pylist()
+        for i, j, data, offsets in unsqueezed(batch["z"], batch["size"]).chunks():
             rows = {n: [] for n in ("n_removed", "n_spans", "kept_sha256", "kept")}
             for k in range(j - i):
                 text = data[offsets[k] : offsets[k + 1]]
@@ -105,9 +105,9 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
                     gone, spans, kept = int(mask.sum()), int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()), text[~mask].tobytes()
                 for n, x in zip(rows, (gone, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     rows[n].append(x)
-            yield {"doc_id": batch["doc_id"].slice(i, j - i), "n_bytes": np.diff(offsets)} | rows
+            yield {"doc_id": ids.slice(i, j - i), "n_bytes": np.diff(offsets)} | rows
 
-    return arrow_map(with_pieces(documents, repeated(documents, WINDOWS)), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return arrow_map(with_pieces(*repeated(documents, WINDOWS)), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
