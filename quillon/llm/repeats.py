@@ -11,7 +11,7 @@ one. The windows of a document fall into runs with a common anchor, one run in a
 2. Where an anchor has several classes their texts differ somewhere: one text of
    each class goes to the task of its anchor, which compares windows exactly
    (`compare`, the method of the operator).
-3. An anchor with more than CROWD classes is not put in one task: its runs are cut
+3. An anchor with more than `crowd` classes is not put in one task: its runs are cut
    into blocks of windows, keyed by the elements that all windows of the block have
    in common, and go through the same steps; what is still crowded then is cut
    into single windows, for which counting alone (step 1) is exact.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import Rolling, Texts, U, arrow_map, mixed, squeezed, stored, unsqueezed
 
-CROWD = 32_768  # at most 24 MB of texts
 TASK_BYTES = 4 << 20
 _AT = U((1 << 34) - 1)
 RUNS = "h long, sp long, doc long, tid long, a long, t int, m int"
@@ -72,8 +71,8 @@ def runs(values: np.ndarray, first: np.ndarray, w: int, k: int):
 class Windows:
     """How documents become elements. split(Texts) yields (first row, row after the last, values, offsets in elements, elements as bytes of `width` each)."""
 
-    def __init__(self, w: int, k: int, block: int, width: int, split: Callable[[Texts], Iterator], compare: Callable, earlier: bool):
-        self.w, self.k, self.block, self.width, self.split, self.compare, self.earlier = w, k, block, width, split, compare, earlier
+    def __init__(self, w: int, k: int, block: int, width: int, split: Callable[[Texts], Iterator], compare: Callable, earlier: bool, crowd: int):
+        self.w, self.k, self.block, self.width, self.split, self.compare, self.earlier, self.crowd = w, k, block, width, split, compare, earlier, crowd
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -194,9 +193,9 @@ def repeated(documents: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
             break
         anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single")).filter("classes > 1" if how.earlier else "classes > 1 and single > 0")
         mixed_anchors = stored(classes.join(anchors.select("h", "classes").hint("merge"), "h"), "anchors")
-        some = mixed_anchors.filter(F.col("classes") <= CROWD)
+        some = mixed_anchors.filter(F.col("classes") <= how.crowd)
         out = out.unionByName(_compared(_spans(docs, some, how), how))
-        crowded = mixed_anchors.filter(F.col("classes") > CROWD)
+        crowded = mixed_anchors.filter(F.col("classes") > how.crowd)
         if crowded.isEmpty():
             break
         rows = stored(_cut(docs, crowded, how, block), "runs")

@@ -24,6 +24,7 @@ from quillon.llm.common import NOT_SPACE, Texts, arrow_map, pick, unsqueezed, wo
 from quillon.llm.repeats import Windows, doc_ids, removed, repeated, with_pieces
 
 LENGTH, GRAM, BLOCK = 50, 8, 8
+CROWD = 32_768  # texts of one anchor in a task: 24 MB
 
 
 def _words(texts: Texts):
@@ -63,7 +64,7 @@ def _compare(h, doc, t, m, data):
     return row[first], s[first], s[last] + LENGTH
 
 
-WINDOWS = Windows(LENGTH, GRAM, BLOCK, 8, _words, _compare, True)
+WINDOWS = Windows(LENGTH, GRAM, BLOCK, 8, _words, _compare, True, CROWD)
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:

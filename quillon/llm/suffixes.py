@@ -26,6 +26,7 @@ from quillon.llm.common import BYTE_VALUES, Texts, arrow_map, pick, unsqueezed
 from quillon.llm.repeats import Windows, doc_ids, removed, repeated, with_pieces
 
 LENGTH, GRAM, BLOCK = 400, 64, 32
+CROWD = 4096  # texts of one anchor in a task: 3 MB
 
 
 def _bytes(texts: Texts):
@@ -86,7 +87,7 @@ def _compare(h, doc, t, m, data):
     return row, t[row] - end + 1, t[row] - begin + LENGTH
 
 
-WINDOWS = Windows(LENGTH, GRAM, BLOCK, 1, _bytes, _compare, False)
+WINDOWS = Windows(LENGTH, GRAM, BLOCK, 1, _bytes, _compare, False, CROWD)
 
 
 def suffix_dedup(documents: DataFrame) -> DataFrame:
