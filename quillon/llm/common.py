@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Bytes of `[^\x20\x09-\x0D]`.
 NOT_SPACE = np.ones(256, bool)
@@ -127,11 +127,15 @@ _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        full = np.full(1 << max(20, (n - 1).bit_length()), base, np.uint64)
-        full[0] = 1
-        _powers[base] = np.multiply.accumulate(full)
-    return _powers[base][:n]
+    """base to the powers 0 .. n - 1; kept for chunks of the usual size."""
+    if len(_powers[base]) >= n:
+        return _powers[base][:n]
+    full = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+    full[0] = 1
+    np.multiply.accumulate(full, out=full)
+    if n <= 2 * CHUNK_BYTES:
+        _powers[base] = full
+    return full[:n]
 
 
 class Rolling:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a stored table of blocks. A block covers a few MB of whole documents
+The index is a stored table of blocks. A block covers about a MB of whole documents
 and has, for each term, the sorted positions of its postings. Terms that no test
 item uses can't take part in a match and are left out of the store. A test phrase
 is looked up in each block by intersecting offset-adjusted posting lists, the
@@ -31,7 +31,7 @@ from quillon.llm.common import ALNUM, LOWER, Texts, arrow_map, pick, stored, wor
 
 WINDOW = 13
 ITEM_BYTES = 16 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 INDEX = "doc_ids array<long>, first array<long>, terms array<long>, ends array<long>, positions binary"
 
 

@@ -187,6 +187,10 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int
     both = pairs.select("a", "b").hint("merge").join(named("a"), "a").hint("merge").join(named("b"), "b")
 
     def work(batch):
+        for lo in range(0, batch.num_rows, 500):
+            yield judged(batch.slice(lo, 500))
+
+    def judged(batch):
         n = batch.num_rows
         sets = []
         for x in "ab":
@@ -202,7 +206,7 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int
         twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
         common = np.bincount(row[1:][twice], minlength=n)
         good = (100 * common >= threshold * (n_a + n_b - common)) & (common > 0)
-        yield {"a": batch["a"].to_numpy()[good], "b": batch["b"].to_numpy()[good]}
+        return {"a": batch["a"].to_numpy()[good], "b": batch["b"].to_numpy()[good]}
 
     return arrow_map(both, work, "a long, b long")
 

@@ -70,14 +70,14 @@ def _fit(batch: pa.RecordBatch, epochs: int = 300, rate: float = 0.05) -> np.nda
     if len(set(y)) < 2:
         return None
     t = Texts(batch["text"])
-    starts, ends, first = words(t.data, t.offsets, NOT_SPACE)
     n, size = len(y), 3 << BITS
     rows, cols, values = [], [], []
-    for row, feature in _features(t.data, starts, ends, first, t.offsets):
-        key, count = np.unique(row.astype(np.int64) * size + feature, return_counts=True)
-        r = key // size
-        rows.append(r), cols.append(key % size)
-        values.append(count / np.maximum(np.bincount(row, minlength=n), 1)[r])
+    for i, _, data, offsets in t.chunks():
+        for row, feature in _features(data, *words(data, offsets, NOT_SPACE), offsets):
+            key, count = np.unique(row.astype(np.int64) * size + feature, return_counts=True)
+            r = key // size
+            rows.append((r + i).astype(np.int32)), cols.append((key % size).astype(np.int32))
+            values.append(count / np.maximum(np.bincount(row), 1)[r])
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     used, cols = np.unique(cols, return_inverse=True)
     spread = np.sqrt(np.maximum(np.bincount(cols, values**2) / n, 1e-12))  # rare features need larger weights
