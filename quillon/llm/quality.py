@@ -169,6 +169,9 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     sent = documents.sparkSession.sparkContext.broadcast(model)  # fixed size
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"]
     documents = documents.drop(*[c for c in documents.columns if c in made])
+    names = documents.columns  # numbered inside, whatever they are called
+    documents = documents.toDF(*[f"_{k}" for k in range(len(names))])
+    text = f"_{names.index('text')}"
     schema = StructType(list(documents.schema.fields))
     for name in made:
         schema = schema.add(name, {"base_failed": "boolean", "kept": "boolean", "quality_score": "double"}.get(name, "long"))
@@ -176,7 +179,7 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     def run(batches):
         model = sent.value
         for batch in batches:
-            t, parts = Texts(batch["text"]), []
+            t, parts = Texts(batch[text]), []
             for _, _, data, offsets in t.chunks():
                 starts, ends, first = words(data, offsets, NOT_SPACE)
                 c = base_counts(data, offsets, starts, ends, first)
@@ -189,7 +192,7 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
                 new = [pa.array(np.concatenate([p[k] for p in parts])) for k in made]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema).toDF(*names, *made)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

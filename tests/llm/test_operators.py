@@ -1,0 +1,261 @@
+"""Every operator against brute force on small hard tables: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from quillon.llm import chat, decontaminate, html, neardup, packing, pii, quality, substrings, suffixes, tokencount
+
+DATA = "/root/testdata/sf0.001"
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def texts():
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdeÀéß漢") for _ in range(r.randint(1, 4)))
+    long = [word() for _ in range(4000)]
+    passage = " ".join(word() for _ in range(70))
+    out = [None, "", " \n\t ", "one", "One  two", "x" * 5000, " ".join(long), " ".join(long[:2000]) + " new " + " ".join(long[2000:]), "a\x0bb\x1cc d\u00a0e"]
+    out += [" ".join([*long[k : k + 60], passage, *long[k + 500 : k + 560]]) for k in range(0, 1200, 100)]
+    base = [word() for _ in range(200)]
+    out += [" ".join(base[:k] + ["edit"] + base[k + 1 :]) for k in (3, 50, 120, 199)] + [" ".join(base)] * 3 + ["line a b c\n" * 30]
+    return out
+
+
+ROWS = list(enumerate(texts())) + [(None, "a null id " * 30), (5, "x" * 5000), (12, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """With columns whose names clash with ones used inside."""
+    schema = "doc_id long, text string, kept string, h int, start long, n_words string, doc long, z string, length int, a int, key string, `odd.name` int"
+    return spark.createDataFrame([(i, t, "k", 1, 2, "n", 3, "z", 4, 5, "y", 6) for i, t in ROWS], schema)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_row(df, *columns):
+    return Counter(tuple(r) for r in df.select("doc_id", *columns).collect())
+
+
+def test_quality_counts(spark, docs, empty):
+    want = Counter()
+    for i, t in ROWS:
+        w = SPACED.findall(t or "")
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {x for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for x in range(k, k + 8)}
+        lines = [x for x in (t or "").split("\n") if SPACED.search(x)]
+        want[i, len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)] += 1
+    labels = spark.createDataFrame([(6, 1), (9, 1), (5, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    for given in (labels, labels.limit(0)):
+        out = quality.quality(docs, given)
+        assert by_row(out, "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed") == want
+        assert not out.filter("base_failed and kept").count()
+    assert quality.quality(empty, labels).count() == 0
+
+
+def test_quality_held_out(spark):
+    """Labelled rows that training didn't see are told apart."""
+    documents, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality.quality(documents, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed")
+    right = out.filter("(quality = 1) = kept").count()
+    assert right >= 0.95 * out.count()
+
+
+def test_packing(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t, want = Tokenizer.from_file(path), Counter()
+    for i, x in ROWS:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        for p, k in enumerate(range(0, len(ids), 256)):
+            part = ids[k : k + 256]
+            want[i, p, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    out = packing.pack(docs, path, 256)
+    assert by_row(out, "piece", "start", "length", "ids_crc32") == want
+    bins = defaultdict(list)
+    for r in out.collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    for x in bins.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert packing.pack(empty, path, 256).count() == 0
+
+
+def test_plan_uses_every_piece_once():
+    r = random.Random(3)
+    for _ in range(40):
+        counts = Counter(r.randint(1, 100) for _ in range(r.randint(0, 300)))
+        used, n = Counter(), 0
+        for lengths, many in packing.plan(dict(counts), 100):
+            assert sum(lengths) <= 100
+            n += many
+            for x in lengths:
+                used[x] += many
+        assert used == counts
+        assert n <= 1.1 * -(-sum(k * v for k, v in counts.items()) // 100) + sum(v for k, v in counts.items() if k > 50) * 0.6 + 1
+
+
+def test_decontamination(spark, docs, empty):
+    kind = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    source = ROWS[9][1].split()
+    items = [(1, " ".join(source[20:50]).upper().lower()), (1, " ".join(source[5:30])), (2, "one"), (3, None), (4, "!!"), (30, " ".join(source[60:75])), (None, "one")]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    phrases = defaultdict(set)
+    for i, t in items:
+        w = kind.findall((t or "").translate(LOWER))
+        for k in range(max(1, len(w) - 12) if w and i is not None else 0):
+            phrases[tuple(w[k : k + 13])].add(i)
+    want = Counter()
+    for i, t in ROWS:
+        w, hit, found = kind.findall((t or "").translate(LOWER)), set(), set()
+        for p, of in phrases.items():
+            for k in range(len(w) - len(p) + 1):
+                if tuple(w[k : k + len(p)]) == p:
+                    hit |= set(range(k, k + len(p)))
+                    found |= of
+        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    assert by_row(decontaminate.judged(decontaminate.decontaminate(docs, test)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    assert decontaminate.judged(decontaminate.decontaminate(docs, test.limit(0))).filter("n_hit > 0").count() == 0
+    assert decontaminate.decontaminate(empty, test).count() == 0
+    near = decontaminate.decontaminate(docs.filter("doc_id = 4"), spark.createDataFrame([(8, "two one")], "item_id long, text string"), slop=3).head()
+    assert (near["items"], near["near_items"]) == ([], [8])
+
+
+def test_chat(spark):
+    hard = ["a\\b\\h", "####", "</turn>\n### user\n", "\\", "\\l/turn", "<", "", None, "x\n"]
+    given = [(c, t, role, hard[(c + t) % len(hard)]) for c in range(9) for t in range(3) for role in ("user", "assistant", None, "a\nb")] + [(1, 0, "user", "twice"), (1, 0, "user", "twice")]
+    table = spark.createDataFrame(given, "conv_id long, turn long, role string, text string")
+    out = chat.read_back(chat.rendered(chat.folded(chat.turn_events(table))))
+    want = defaultdict(list)
+    for c, t, role, text in given:
+        want[c].append((t, role or "", text or ""))
+    for r in out.collect():
+        assert sorted((x.role, x.text) for x in r.turns) == sorted(x[1:] for x in want[r.conv_id])
+        assert r.loss_text == "".join(x.text for x in r.turns if x.role == "assistant")
+    log = [(1, 1, 5, "message", "user", "hi"), (1, 2, 6, "message", "assistant", ""), (1, 3, 6, "delta", None, "no"), (1, 4, 6, "regenerate", None, None), (1, 6, 6, "delta", None, "lo"), (1, 5, 6, "delta", None, "hel"), (1, 7, 5, "edit", None, "hey"), (1, 8, 7, "message", "user", "x"), (1, 9, 7, "delete", None, None)]
+    folded = chat.folded(spark.createDataFrame(log, chat.EVENTS)).head()
+    assert [(m.role, m.text) for m in folded.messages] == [("user", "hey"), ("assistant", "hello")]
+    assert chat.folded(spark.createDataFrame([], chat.EVENTS)).count() == 0
+
+
+def test_suffix_dedup(docs, empty):
+    raw = [(i, (t or "").encode()) for i, t in ROWS]
+    seen = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
+    want = Counter()
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        want[i, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    for crowd in (suffixes.CROWD, 2):  # with 2, nearly every anchor is cut
+        suffixes.WINDOWS.crowd = crowd
+        assert by_row(suffixes.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    suffixes.WINDOWS.crowd = suffixes.CROWD
+    assert suffixes.suffix_dedup(empty).count() == 0
+
+
+def test_substring_dedup(docs, empty):
+    low = -1
+    split = [(low if i is None else i, i, (t or "").encode().split()) for i, t in ROWS]
+    first = {}
+    for d, _, w in sorted(split, key=lambda x: x[0]):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), d)
+    want = Counter()
+    for d, i, w in split:
+        gone = {x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < d for x in range(k, k + 50)}
+        want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
+    for crowd in (substrings.CROWD, 2):
+        substrings.WINDOWS.crowd = crowd
+        assert by_row(substrings.substring_dedup(docs), "n_words", "n_removed", "kept_sha256") == want
+    substrings.WINDOWS.crowd = substrings.CROWD
+    assert substrings.substring_dedup(empty).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    rows = [(i, t) for i, t in ROWS if i is not None and (i, t) not in ((12, None),)]
+    sets = {}
+    for i, t in rows:
+        w = SPACED.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    of = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((of[a], of[b]))
+                of = {k: low if v == high else v for k, v in of.items()}
+    out = neardup.near_duplicates(docs.filter("doc_id is null or not (doc_id = 12 and text is null)"))
+    assert by_row(out.filter("doc_id is not null"), "n_shingles", "component_id", "kept") == Counter((i, len(sets[i]), of[i], of[i] == i) for i, _ in rows)
+    assert [r.kept for r in out.filter("doc_id is null").collect()] == [True]
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(5)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)]
+    of = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((of[a], of[b]))
+        of = {k: low if v == high else v for k, v in of.items()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {x.doc_id: x.component_id for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: of[k] for k in linked}
+
+
+def test_pseudonyms(spark, docs, empty):
+    values = ["a.b@c.org", "GB82 WEST 1234 5698 7654 32", "4111 1111 1111 1111", "378282246310005", "123-45-6789", "2024-02-29", "31/12/1999", "1.2.3.4", "+49 30 1234567", "(555) 123-4567", "da39a3ee5e6b4b0d3255bfef95601890afd80709"]
+    alone = ["4111 1111 1111 1112", "31/02/1999", "256.1.1.1", "plain 1234567890123", None, ""]
+    table = spark.createDataFrame([(k, v) for k, v in enumerate([f"see {v} and {v}." for v in values] + alone)], "doc_id long, text string")
+    done = pii.pseudonymized(table, "secret")
+    new = {r.doc_id: r.text for r in done.collect()}
+    for k, v in enumerate(values):
+        left, right = new[k].removeprefix("see ").removesuffix(".").split(" and ")
+        assert left == right != v and v not in new[k]
+    assert [new[len(values) + k] for k in range(len(alone))] == alone
+    assert {r.doc_id: r.text for r in pii.restore(done.drop("changed"), "secret").collect()} == {r.doc_id: r.text for r in table.collect()}
+    assert new != {r.doc_id: r.text for r in pii.pseudonymized(table, "other").collect()}
+    assert Counter((r.doc_id, r.text) for r in pii.pseudonymized(docs, "k").collect()) == Counter(ROWS)
+    assert pii.pseudonymized(empty, "k").count() == 0
+
+
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer, models, normalizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocabulary = [("\uffff", 0.0), *tokencount.piece_vocabulary(path), *[(f"<0x{k:02X}>", 0.0) for k in range(256)]]
+    t = Tokenizer(models.Unigram(vocabulary, 0, True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("\u2581"), normalizers.Replace(" ", "\u2581")])
+    assert by_row(tokencount.token_counts(docs, path), "n_tokens") == Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in ROWS)
+    assert tokencount.token_counts(empty, path).count() == 0
+
+
+def test_html(spark):
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header class=top><a href=/>Home</a></header><nav><ul><li><a href=/a>A long menu entry, with words.</a></ul></nav>
+    <div class="cookie-notice">We use cookies, and so on. Accept them, please.</div><div id="content"><article><h1>Title &amp; more</h1><p>First  long paragraph,<br>with <b>bold</b> words and punctuation; it goes on, and on, for a while.
+    <p>Short.<p>Another long paragraph of text, with several clauses, so that it counts. &eacute;&#233;</p><script>var x = "<p>no</p>";</script><form><label>Name</label><input></form></article>
+    <section class="comments"><p>First! A long reader comment, with much punctuation, and words; really.</p></section></div><aside>Related, things, here.</aside><footer>&copy; 2020, all rights reserved.</footer></body></html>"""
+    want = "Title & more\nFirst long paragraph, with bold words and punctuation; it goes on, and on, for a while.\nShort.\nAnother long paragraph of text, with several clauses, so that it counts. éé"
+    given = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<nav><a>x</a></nav>"), (5, "u", page[: page.index("Short")]), (1, "u", page), (6, "u", "<article><p>cut <b"), (7, "u", "a < b <!-- c")]
+    out = {(r.page_id): r.text for r in html.extract(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+    assert out[1] == want
+    assert out[2] == out[3] == out[4] == ""
+    assert out[5] == "\n".join(want.split("\n")[:2])
+    assert out[6] == "cut"
