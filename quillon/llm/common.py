@@ -9,6 +9,8 @@ holds whole documents.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -165,10 +167,18 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], s
         for batch in batches:
             for columns in work(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name].cast(f.type) for f in made], schema=made)
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the system: Python workers are used again by tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def squeezed(df: DataFrame) -> DataFrame:
     """df (columns of numbers, and text) with text as zstd bytes `z` and its length `size`: a shuffle moves two thirds of the bytes then."""
     kept = [f for f in df.schema.fields if f.name != "text"]

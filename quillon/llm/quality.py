@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillon.llm.common import NOT_SPACE, Texts, U, mixed, pick, word_hashes, words
+from quillon.llm.common import NOT_SPACE, Texts, U, mixed, pick, released, word_hashes, words
 
 BITS = 16
 WORDS, PAIRS, GRAMS = 0, 1 << BITS, 2 << BITS  # three tables, one after the other
@@ -79,18 +79,29 @@ def _fit(batch: pa.RecordBatch, epochs: int = 300, rate: float = 0.05) -> np.nda
             rows.append((r + i).astype(np.int32)), cols.append((key % size).astype(np.int32))
             values.append(count / np.maximum(np.bincount(row), 1)[r])
     rows, cols, values = map(np.concatenate, (rows, cols, values))
-    used, cols = np.unique(cols, return_inverse=True)
+    used = np.flatnonzero(np.bincount(cols, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    cols = place[cols]
+    blocks = [slice(k, k + 500_000) for k in range(0, len(cols), 500_000)]  # entries worked on at a time
+
+    def by_row(w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(rows[b], w[cols[b]] * scaled[b], n) for b in blocks), np.zeros(n))
+
+    def by_feature(g: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(cols[b], g[rows[b]] * scaled[b], len(used)) for b in blocks), np.zeros(len(used)))
+
     spread = np.sqrt(np.maximum(np.bincount(cols, values**2) / n, 1e-12))  # rare features need larger weights
     scaled = values / spread[cols] * 0.02
     balance = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     w, m, v = np.zeros((3, len(used) + 1))
     for step in range(1, epochs + 1):
-        z = np.bincount(rows, w[:-1][cols] * scaled, n) + w[-1]
+        z = by_row(w[:-1]) + w[-1]
         g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(cols, g[rows] * scaled, len(used)) + 1e-4 * w[:-1], g.sum())
+        grad = np.append(by_feature(g) + 1e-4 * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    z = np.bincount(rows, w[:-1][cols] * scaled, n) + w[-1]
+    z = by_row(w[:-1]) + w[-1]
     on = held if len(set(y[held])) == 2 else ~held
     a, b, x, target = 1.0, 0.0, z[on], np.where(y[on] == 1, ((y[on] == 1).sum() + 1) / ((y[on] == 1).sum() + 2), 1 / ((y[on] == 0).sum() + 2))
     for _ in range(50):  # Newton's method for the two numbers of the calibration
@@ -117,6 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROW
         model = _fit(table.combine_chunks().to_batches()[0]) if table.num_rows else None
         if model is not None:
             yield pa.RecordBatch.from_pydict({"model": pa.array([model.tobytes()], pa.binary())})
+        released()
 
     row = sample.coalesce(1).mapInArrow(fit, "model binary").head()
     return np.frombuffer(row[0]) if row else None
@@ -191,6 +203,7 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
             if parts:
                 new = [pa.array(np.concatenate([p[k] for p in parts])) for k in made]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
+        released()
 
     return documents.mapInArrow(run, schema).toDF(*names, *made)
 
