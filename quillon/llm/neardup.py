@@ -9,12 +9,17 @@
    candidates. Depth adapts to the region: where a prefix has at most REGION
    classes all its pairs are candidates; where it has more, longer prefixes are
    asked for, and a region that is crowded down to the last value takes the next
-   NEXT classes of an order that differs from tree to tree.
+   NEXT classes of an order that differs from tree to tree; step 5 has the rest.
 3. A candidate is a link if 100 * |A and B| >= threshold * |A or B|, on the sets
    themselves, made again from the texts. First one candidate for each class, the
    one that most trees agree on; then, of the others, those whose ends aren't yet
    in one component. What is left out can't change any component.
 4. Components by alternating large-star and small-star steps.
+5. Regions crowded down to the last value whose classes aren't in one component by
+   then: every class outside the region's largest component meets all classes of
+   other components there, so no candidate is lost to crowding. Shingles that a
+   class shares with no other crowded class bound what it can have in common with
+   any, which rules out, exactly, nearly all of these pairs before texts are read.
 
 At a similarity of 0.85 a pair has a common prefix of 4 in one of the 24 trees with
 probability above 0.9999999.
@@ -90,11 +95,11 @@ def signatures(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return arrow_map(pick(documents, "doc_id", "text"), work, "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, out: list) -> None:
-    """Candidates among rows sorted by key (uint32 values: tree, then its signature values)."""
+def _pairs(keys: np.ndarray, ids: np.ndarray, out: list) -> np.ndarray:
+    """Candidates among rows sorted by key (uint32 values: tree, then its signature values); returns the rows whose whole key is crowded."""
     n = len(ids)
     if n < 2:
-        return
+        return np.zeros(0, np.int64)
     same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(1) - 1  # common prefix with the row before; -1: another tree
     depth = np.full(n, DEPTH + 1)  # the shortest prefix from MIN_PREFIX whose region is small enough
     for d in range(MIN_PREFIX, DEPTH + 1):
@@ -114,10 +119,11 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, out: list) -> None:
             break
         k = np.flatnonzero(near)
         out.append((np.minimum(ids[k], ids[k + step]), np.maximum(ids[k], ids[k + step])))
+    return np.flatnonzero(depth > DEPTH)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, trees) of classes (doc_id, signature) with a < b that the forest brings together."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, trees) of classes (doc_id, signature) with a < b that the forest brings together, and the rows (doc_id, tree, key) of crowded whole keys."""
     spark = classes.sparkSession
     width = 4 * DEPTH
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("signature", t * width + 1, F.lit(width)).alias("key")))
@@ -152,26 +158,69 @@ def candidates(classes: DataFrame) -> DataFrame:
 
     def _emit(batch):
         out: list = []
-        _pairs(keys_of(batch["tree"].to_numpy(), batch["key"].to_pylist()), batch["doc_id"].to_numpy(), out)
+        none = pa.nulls
+        crowd = _pairs(keys_of(batch["tree"].to_numpy(), batch["key"].to_pylist()), batch["doc_id"].to_numpy(), out)
         if out:
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            n, none = len(a), pa.nulls
+            n = len(a)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], schema=made)
+        if len(crowd):
+            rows, n = batch.take(pa.array(crowd)), len(crowd)
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], none(n, pa.int64()), pa.array(np.full(n, -1)), rows["tree"], rows["key"]], schema=made)
 
     found = stored(rows.mapInArrow(run, "a long, b long, edge long, tree int, key binary"), "forest")
 
-    def across(pdf):
-        pdf = pdf.sort_values(["tree", "key", "a"])
+    def across(table):
+        table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")]).combine_chunks()
         out: list = []
-        _pairs(keys_of(pdf["tree"].to_numpy(), pdf["key"].tolist()), pdf["a"].to_numpy(), out)
-        import pandas as pd
-
+        crowd = _pairs(keys_of(table["tree"].to_numpy(), table["key"].to_pylist()), table["a"].to_numpy(), out)
         a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
+        n = len(a)
+        pairs = pa.Table.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=met)
+        rows = table.take(pa.array(crowd))
+        return pa.concat_tables([pairs, pa.table([rows["a"], pa.nulls(len(crowd), pa.int64()), rows["tree"], rows["key"]], schema=met)])
+
+    met = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("key", pa.binary())])
+    edges = found.filter("edge >= 0").groupBy("edge").applyInArrow(across, "a long, b long, tree int, key binary")  # a few rows for each partition
+    pairs = found.filter("edge is null").select("a", "b").unionByName(edges.filter("b is not null").select("a", "b")).filter("a < b")
+    crowded = found.filter("edge = -1").select("a", "tree", "key").unionByName(edges.filter("b is null").select("a", "tree", "key")).distinct()
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")), crowded.withColumnRenamed("a", "doc_id")
+
 
-    edges = found.filter("edge is not null").groupBy("edge").applyInPandas(across, "a long, b long")  # a few rows for each partition
-    pairs = found.filter("edge is null").select("a", "b").unionByName(edges).filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
+def private(ids: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id and own, the number of shingles that no other document in ids has, where there are any."""
+
+    def work(batch):
+        for i, j, s, ends in shingle_sets(unsqueezed(batch["z"], batch["size"]), k):
+            doc = np.repeat(batch["doc_id"].to_numpy()[i:j], np.diff(np.concatenate(([0], ends))))
+            for lo in range(0, len(s), 200_000):
+                yield {"doc_id": doc[lo : lo + 200_000], "shingle": s[lo : lo + 200_000].view(np.int64)}
+
+    shingles = arrow_map(texts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "z", "size"), work, "doc_id long, shingle long")
+    single = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc_id")).filter("docs = 1")
+    return single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def unsettled(crowded: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, salts: int = 32) -> DataFrame:
+    """Pairs (a, b) that share a crowded key and aren't in one component (joined) yet: all of them that can be links.
+
+    Pairs within a component are never made: in a region, only the classes outside its largest component
+    meet the others. A region's rows are dealt over `salts` tasks. sizes: doc_id, n_shingles.
+    """
+    rows = crowded.join(joined, "doc_id", "left").select("doc_id", "tree", "key", F.coalesce("component_id", "doc_id").alias("part"))
+    per = rows.groupBy("tree", "key", "part").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("tree", "key").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("tree", "key", F.col("most.part").alias("top"))
+    rows = stored(rows.join(top, ["tree", "key"]), "crowded")
+    if rows.isEmpty():
+        return crowded.sparkSession.createDataFrame([], "a long, b long")
+    # what a class can have in common with others at most; without enough of it, it has no links
+    most = rows.select("doc_id").distinct().join(sizes, "doc_id").join(private(rows, texts, k), "doc_id", "left").select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"))
+    rows = rows.join(most.filter(f"100 * most >= {threshold} * n"), "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = stored(rows, "crowded")
+    few = rows.filter("part != top").select("tree", "key", F.col("doc_id").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    able = f"part != part_x and (part = top or x < doc_id) and 100 * least(most, most_x) >= {threshold} * (n + n_x - least(most, most_x))"
+    met = few.join(rows, ["tree", "key", "salt"]).filter(able)
+    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
 def texts_of(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -237,8 +286,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     signed = stored(signatures(documents, k), "signatures")
-    classes = stored(signed.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
-    pairs = stored(candidates(classes.select("doc_id", "signature")), "pairs")
+    classes = stored(signed.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
+    pairs, crowded = candidates(classes.select("doc_id", "signature"))
+    pairs, crowded = stored(pairs, "pairs"), stored(crowded, "crowded")
     # one candidate for each class first, the one most trees agree on
     best = pairs.groupBy("b").agg(F.max(F.struct(F.col("trees"), (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
     texts = texts_of(pairs, documents)
@@ -248,7 +298,11 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, k: int = S
     rest = pairs.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     rest = stored(rest.filter("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "rest")
     if not rest.isEmpty():
-        joined = components(first.unionByName(links(rest, texts, threshold, k)))
+        first = stored(first.unionByName(links(rest, texts, threshold, k)), "links")
+        joined = components(first)
+    more = stored(unsettled(crowded, joined, classes.select("doc_id", "n_shingles"), texts, threshold, k).join(pairs, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        joined = components(first.unionByName(links(more, texts, threshold, k)))
     of_class = classes.select("set_hash", F.col("doc_id").alias("class_id")).join(joined.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     of_class = of_class.select("set_hash", F.coalesce("component_id", "class_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

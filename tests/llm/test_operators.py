@@ -208,6 +208,33 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_crowd(spark):
+    """Near copies whose similarities lie on both sides of the threshold and whose signatures crowd every tree."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for k in r.sample(range(300), r.choice((4, 4, 5, 5, 6, 7, 8))):
+            words[k] = f"e{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(least)
+        for a in range(len(rows)):
+            for b in range(a):
+                common = len(sets[a] & sets[b]) if least[a] != least[b] else 0
+                if common and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                    low, high = sorted((least[a], least[b]))
+                    least = [low if x == high else x for x in least]
+        if least == before:
+            break
+    assert 5 < len(set(least)) < len(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(least))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)]
