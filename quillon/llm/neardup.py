@@ -18,8 +18,8 @@
 5. Regions crowded down to the last value whose classes aren't in one component by
    then: every class outside the region's largest component meets all classes of
    other components there, so no candidate is lost to crowding. Shingles that a
-   class shares with no other crowded class bound what it can have in common with
-   any, which rules out, exactly, nearly all of these pairs before texts are read.
+   class shares with no other crowded class, and bits of its set, bound what two can
+   have in common and rule out nearly all of these pairs before texts are read.
 
 At a similarity of 0.85 a pair has a common prefix of 4 in one of the 24 trees with
 probability above 0.9999999.
@@ -44,6 +44,7 @@ from quillon.llm.common import LOWER, NOT_SPACE, Texts, U, arrow_map, dropped, m
 SHINGLE, THRESHOLD = 3, 85
 TREES, DEPTH, MIN_PREFIX = 24, 6, 4
 REGION, NEXT = 12, 2
+MAPS = 16  # longs of bits that stand for a set: the top 4 bits of a hash choose one
 _SEEDS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
 
 
@@ -201,6 +202,19 @@ def private(ids: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
 
 
+def bitmaps(ids: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id and m0 .. m15: 1024 bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles as their bits do."""
+
+    def work(batch):
+        for i, j, s, ends in shingle_sets(unsqueezed(batch["z"], batch["size"]), k):
+            row = np.repeat(np.arange(j - i), np.diff(np.concatenate(([0], ends))))
+            maps = np.zeros((j - i, MAPS), np.uint64)
+            np.bitwise_xor.at(maps, (row, (s >> U(60)).astype(np.int64)), U(1) << ((s >> U(54)) & U(63)))
+            yield {"doc_id": batch["doc_id"].slice(i, j - i)} | {f"m{c}": np.ascontiguousarray(maps[:, c]).view(np.int64) for c in range(MAPS)}
+
+    return arrow_map(texts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "z", "size"), work, "doc_id long, " + ", ".join(f"m{c} long" for c in range(MAPS)))
+
+
 def unsettled(crowded: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, salts: int = 32) -> DataFrame:
     """Pairs (a, b) that share a crowded key and aren't in one component (joined) yet: all of them that can be links.
 
@@ -215,10 +229,12 @@ def unsettled(crowded: DataFrame, joined: DataFrame, sizes: DataFrame, texts: Da
         return crowded.sparkSession.createDataFrame([], "a long, b long")
     # what a class can have in common with others at most; without enough of it, it has no links
     most = rows.select("doc_id").distinct().join(sizes, "doc_id").join(private(rows, texts, k), "doc_id", "left").select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"))
-    rows = rows.join(most.filter(f"100 * most >= {threshold} * n"), "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = rows.join(most.filter(f"100 * most >= {threshold} * n").join(bitmaps(rows, texts, k), "doc_id"), "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     rows = stored(rows, "crowded")
-    few = rows.filter("part != top").select("tree", "key", F.col("doc_id").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    few = rows.filter("part != top").select("tree", "key", F.col("doc_id").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"), *[F.col(f"m{c}").alias(f"x{c}") for c in range(MAPS)], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     able = f"part != part_x and (part = top or x < doc_id) and 100 * least(most, most_x) >= {threshold} * (n + n_x - least(most, most_x))"
+    differ = " + ".join(f"bit_count(m{c} ^ x{c})" for c in range(MAPS))
+    able += f" and 100 * (n + n_x - ({differ})) >= {threshold} * (n + n_x + ({differ}))"
     met = few.join(rows, ["tree", "key", "salt"]).filter(able)
     return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
