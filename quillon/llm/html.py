@@ -7,7 +7,10 @@ multiplied. Nodes of at least the threshold (a share of the mean weighted by
 length) are content, and the deepest element that holds nearly all their text is
 the article: short headings and paragraphs in it belong to it too. Elements that
 their tag or class says are furniture (menus, notices, adverts, forms, comments
-...) take no part, nor do paths in the article that are mostly links.
+...) take no part, nor do menus: blocks outside an article or main that hold two
+links or more of few words each, no heading and no word outside the links, and
+stand before or after all content. A link counts with the block it stands in, so
+links in sentences, headings and lists of the article are kept.
 
 White space inside a block becomes one space; blocks are joined by a line feed.
 `br` counts as white space. Nothing else is dropped and nothing is capped.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,6 +44,12 @@ ENDS = {"p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldse
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"table", "button", "td", "th", "article", "section", "div", "body", "blockquote", "li"}, "option": {"select"}}
 LEAVES = {"h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "dl", "figure", "hgroup"}
 WHOLE = {"article", "main", "body", "section"}
+DECLARED = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that are never a menu by themselves.
+NO_MENU = INLINE | HEADINGS | {"", "html", "body", "article", "main", "li", "dt", "dd", "tr", "td", "th"}
+MENU_WORDS = 4
+WORD = re.compile(r"\w+")
 PUNCTUATION = re.compile(r"[.,;:!?\u2026\u3001\u3002\uff0c\uff01\uff1f\u00bf\u00a1]")
 SHARE = 0.3
 HELD = 0.9
@@ -114,23 +123,54 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), weights, "valid")
 
 
+def _menus(found: list, real: list[int], tags: dict[int, list[str]]) -> set[int]:
+    """The text nodes in menus, wherever they stand on the page."""
+    if not any(found[k][3] for k in real):
+        return set()
+    words: Counter = Counter()
+    links: dict[int, set[int]] = defaultdict(set)
+    other = set()
+    for k in real:
+        elements, _, _, link, text = found[k]
+        n = len(WORD.findall(text))
+        if not HEADINGS.isdisjoint(tags[k]) or n and not link:
+            other.update(elements)
+        elif link:
+            for e in elements:
+                words[e] += n
+                links[e].add(elements[tags[k].index("a")])
+    menus = {e for e, x in links.items() if e not in other and len(x) > 1 and words[e] < MENU_WORDS * len(x)}
+    return {k for k in real if DECLARED.isdisjoint(tags[k]) and any(e in menus and t not in NO_MENU for e, t in zip(found[k][0], tags[k], strict=True))}
+
+
+def _linked(found: list, real: list[int], tags: dict[int, list[str]]) -> np.ndarray:
+    """Whether most of the text of a node's block element is links."""
+    sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(2))
+    of = [next((e for e, t in zip(found[k][0][::-1], tags[k][::-1], strict=True) if t not in INLINE), 0) for k in real]
+    for k, e in zip(real, of, strict=True):
+        size = len(found[k][4].strip())
+        sums[e] += (size, size * found[k][3])
+    return np.array([sums[e][1] > 0.5 * sums[e][0] for e in of])
+
+
 def main_text(html: str | None) -> str:
     found = nodes(html) if html else []
     found = [(e, p, b, a, entities.unescape(t)) for e, p, b, a, t in found]
     real = [k for k, x in enumerate(found) if x[4].strip()]
     if not real:
         return ""
-    sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(4))
+    sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
     for k in real:
-        _, path, _, link, text = found[k]
-        size = len(text.strip())
-        sums[path] += (1, size, len(PUNCTUATION.findall(text)), size * link)
+        _, path, _, _, text = found[k]
+        sums[path] += (1, len(text.strip()), len(PUNCTUATION.findall(text)))
     length = np.array([sums[found[k][1]][1] / sums[found[k][1]][0] for k in real])
     marks = np.array([sums[found[k][1]][2] / sums[found[k][1]][0] for k in real])
     own = np.array([len(found[k][4].strip()) for k in real], float)
-    linked = np.array([sums[found[k][1]][3] / sums[found[k][1]][1] > 0.5 for k in real])
+    tags = {k: found[k][1].split("/") for k in real}
+    menus = _menus(found, real, tags)
+    linked = _linked(found, real, tags) | np.array([k in menus for k in real])
     fused = np.sqrt(_smooth(length) * (_smooth(marks) + 0.5)) * ~linked
-    content = (fused >= SHARE * np.average(fused, weights=own)) & ~linked if fused.any() else ~linked
+    content = (fused >= SHARE * np.average(fused, weights=own)) & ~linked if fused.any() else np.array([k not in menus for k in real])
     held: dict[int, float] = defaultdict(float)
     depth: dict[int, int] = {}
     for k, size in zip(np.array(real)[content], own[content], strict=True):
@@ -147,7 +187,8 @@ def main_text(html: str | None) -> str:
         at -= 1  # a paragraph that holds all the text has the article around it
     article = elements[at]
     blocks: dict[int, list[str]] = {}
-    drop = {k for k, x in zip(real, linked, strict=True) if x}
+    ends = np.array(real)[content][[0, -1]]
+    drop = {k for k in menus if not ends[0] < k < ends[1]}
     for k, (elements, _, block, _, text) in enumerate(found):
         if article in elements and k not in drop:
             blocks.setdefault(block, []).append(text)

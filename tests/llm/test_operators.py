@@ -286,3 +286,17 @@ def test_html(spark):
     assert out[2] == out[3] == out[4] == ""
     assert out[5] == "\n".join(want.split("\n")[:2])
     assert out[6] == "cut"
+
+
+def test_html_keeps_links_in_the_article():
+    long = "A sentence of the article, with several clauses, so that it counts; it goes on."
+    article = f"""<h2><a href=/h>A heading</a></h2><p>{long} Read the <a href=x>full report</a> now.</p><ul><li><a href=1>First source</a></li><li><a href=2>Second</a></li></ul>
+    <p>{long}</p><ol><li>Smith, <a href=3>A study of it</a>, 2019.</li></ol><p><a href=y>All of this paragraph is a link, with punctuation.</a></p>"""
+    want = f"A heading\n{long} Read the full report now.\nFirst source\nSecond\n{long}\nSmith, A study of it, 2019.\nAll of this paragraph is a link, with punctuation."
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+    for tag in ("article", "main", "div"):
+        assert html.main_text(f"<body>{menu}<{tag}>{article}</{tag}>{menu}</body>") == want
+    assert html.main_text(f"<body>{menu}{article}<p><a href=/>Home</a> | <a href=/a>About us</a></p></body>") == want
+    assert html.main_text(f"<article>{article}<h2>Sources</h2>{menu}</article>") == f"{want}\nSources\nHome\nAbout us"
+    assert html.main_text("<p><a href=x>Only a link</a></p>") == "Only a link"
+    assert html.main_text(f"<body>{menu}</body>") == ""
