@@ -4,8 +4,11 @@ A page becomes its text nodes in order, each with the path of tag names from the
 root to it. Text length and punctuation are summed by path and divided by the
 path's number of nodes; both ratios are smoothed over the sequence of nodes and
 multiplied. Nodes of at least the threshold (a share of the mean weighted by
-length) are content, and the deepest element that holds nearly all their text is
-the article: short headings and paragraphs in it belong to it too. Elements that
+length) are content, and the deepest element that holds all of them, or the
+article or main around it, is the page's article: short headings and paragraphs
+in it belong to it too, and so do headings beside it. Where content stands both in
+an article and outside any, what is outside counts only if its element holds
+content. Elements that
 their tag or class says are furniture (menus, notices, adverts, forms, comments
 ...) take no part, nor do menus: blocks outside an article or main that hold two
 links or more of few words each, no heading and no word outside the links, and
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
+from itertools import takewhile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,7 +56,6 @@ MENU_WORDS = 4
 WORD = re.compile(r"\w+")
 PUNCTUATION = re.compile(r"[.,;:!?\u2026\u3001\u3002\uff0c\uff01\uff1f\u00bf\u00a1]")
 SHARE = 0.3
-HELD = 0.9
 
 
 def _marked(tag: str, rest: str, inside: bool) -> bool:
@@ -153,6 +156,48 @@ def _linked(found: list, real: list[int], tags: dict[int, list[str]]) -> np.ndar
     return np.array([sums[e][1] > 0.5 * sums[e][0] for e in of])
 
 
+def _article(found: list, real: list[int], tags: dict[int, list[str]], chosen: list[int]) -> set[int]:
+    """The elements whose text is the page's: they hold every chosen node."""
+    first = found[chosen[0]][0]
+    at = min(sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(first, found[k][0], strict=False))) for k in chosen) - 1
+    elements, path = first, tags[chosen[0]]
+    direct = {found[k][0][-1] for k in real}
+    while at and path[at] not in WHOLE and (path[at] in ENDS or path[at] in INLINE or path[at] in LEAVES or elements[at] in direct):
+        at -= 1  # a paragraph that holds all the text has the article around it
+    at = max((d for d in range(at + 1) if path[d] in DECLARED), default=at)
+    beside: dict[int, set[int]] = defaultdict(set)  # by parent, headings before the content
+    for k in real:
+        if k >= chosen[0]:
+            break
+        d = next((d for d, t in enumerate(tags[k]) if t in HEADINGS), 0)
+        if d:
+            beside[found[k][0][d - 1 - (tags[k][d - 1] == "hgroup")]].add(found[k][0][d])
+    at = min((d for d in range(at) if elements[d] in beside and path[d] not in ("", "html", "body")), default=at)  # a heading's section is whole
+    if any(t in DECLARED for t in path[: at + 1]):
+        kept = {elements[at]}
+    else:
+        kept, around = set(), set()
+        for k in chosen:
+            d = next((d for d, t in enumerate(tags[k]) if t in DECLARED), 0)
+            if d:
+                kept.add(found[k][0][d])
+                around.update(found[k][0][:d])
+        if not kept:
+            kept = {elements[at]}
+        else:
+            for k in chosen:
+                if kept.isdisjoint(found[k][0]):
+                    d = len(tags[k]) - 1
+                    while d > at + 1 and found[k][0][d - 1] not in around:
+                        d -= 1
+                    kept.add(found[k][0][d])
+                    around.update(found[k][0][:d])
+            at = len(elements)
+    for e in set(elements[:at]) & set(beside):
+        kept |= beside[e]
+    return kept
+
+
 def main_text(html: str | None) -> str:
     found = nodes(html) if html else []
     found = [(e, p, b, a, entities.unescape(t)) for e, p, b, a, t in found]
@@ -171,26 +216,14 @@ def main_text(html: str | None) -> str:
     linked = _linked(found, real, tags) | np.array([k in menus for k in real])
     fused = np.sqrt(_smooth(length) * (_smooth(marks) + 0.5)) * ~linked
     content = (fused >= SHARE * np.average(fused, weights=own)) & ~linked if fused.any() else np.array([k not in menus for k in real])
-    held: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
-    for k, size in zip(np.array(real)[content], own[content], strict=True):
-        for d, element in enumerate(found[k][0]):
-            held[element] += size
-            depth[element] = d
-    if not held:
+    chosen = [k for k, x in zip(real, content, strict=True) if x]
+    if not chosen:
         return ""
-    article = max((e for e in held if held[e] >= HELD * held[0]), key=lambda e: (depth[e], -e))
-    elements, path = next((found[k][0], found[k][1].split("/")) for k in real if article in found[k][0])
-    at = elements.index(article)
-    direct = {found[k][0][-1] for k in real}
-    while at and path[at] not in WHOLE and (path[at] in ENDS or path[at] in INLINE or path[at] in LEAVES or elements[at] in direct):
-        at -= 1  # a paragraph that holds all the text has the article around it
-    article = elements[at]
+    kept = _article(found, real, tags, chosen)
     blocks: dict[int, list[str]] = {}
-    ends = np.array(real)[content][[0, -1]]
-    drop = {k for k in menus if not ends[0] < k < ends[1]}
+    drop = {k for k in menus if not chosen[0] < k < chosen[-1]}
     for k, (elements, _, block, _, text) in enumerate(found):
-        if article in elements and k not in drop:
+        if k not in drop and not kept.isdisjoint(elements):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -300,3 +300,18 @@ def test_html_keeps_links_in_the_article():
     assert html.main_text(f"<article>{article}<h2>Sources</h2>{menu}</article>") == f"{want}\nSources\nHome\nAbout us"
     assert html.main_text("<p><a href=x>Only a link</a></p>") == "Only a link"
     assert html.main_text(f"<body>{menu}</body>") == ""
+
+
+def test_html_keeps_all_content():
+    body = "".join(f"<p>Paragraph {k} of the body, with several clauses, so that it counts; it goes on.</p>" for k in range(30))
+    text = [f"Paragraph {k} of the body, with several clauses, so that it counts; it goes on." for k in range(30)]
+    intro, end = "What this is about, and for whom.", "So much for that; more, in time."
+    want = "\n".join(["T", intro, *text, end])
+    inner = f"<h1>T</h1><div class=intro><p>{intro}</p></div><div class=body>{body}</div><div><p>{end}</p></div>"
+    for tag in ("article", "main", "div"):
+        assert html.main_text(f"<html><body><nav><a href=/>Home</a></nav><{tag}>{inner}</{tag}><footer>By us, in 2020.</footer></body></html>") == want
+        assert html.main_text(f"<body><div><{tag}>{inner}</{tag}></div></body>") == want
+    assert html.main_text(f"<main><h1>T</h1><article>{body}</article><section><p>{end}</p></section></main>") == "\n".join(["T", *text, end])
+    assert html.main_text(f"<body><h1>T</h1><article>{body}</article><div>x</div></body>") == "\n".join(["T", *text])
+    assert html.main_text(f"<body><h1>T</h1><div><p>{intro} {intro} {intro}</p></div><article>{body}</article><div>x</div></body>") == "\n".join(["T", f"{intro} {intro} {intro}", *text])
+    assert html.main_text(f"<body><h1>T</h1><div>{body}</div></body>") == "\n".join(["T", *text])
