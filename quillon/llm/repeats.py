@@ -10,7 +10,9 @@ one. The windows of a document fall into runs with a common anchor, one run in a
    however many, are counted before the shuffle.
 2. Where an anchor has several classes their texts differ somewhere: one text of
    each class goes to the task of its anchor, which compares windows exactly
-   (`compare`, the method of the operator).
+   (`compare`, the method of the operator). What is found there holds for every run
+   of the class; where only earlier documents count, the class's runs in its own
+   smallest document are the ones that step 1 leaves open, and get it by a join.
 3. An anchor with more than `crowd` classes is not put in one task: its runs are cut
    into blocks of windows, keyed by the elements that all windows of the block have
    in common, and go through the same steps; what is still crowded then is cut
@@ -118,9 +120,9 @@ def _spans(documents: DataFrame, reps: DataFrame, how: Windows) -> DataFrame:
         for lo in range(0, len(r["h"]), 4000):
             part = {n: c[lo : lo + 4000] for n, c in r.items()}
             begin, end = part["at"] * how.width, (part["at"] + part["m"] + how.w) * how.width
-            yield {n: part[n] for n in ("h", "doc", "tid", "a", "t", "m")} | {"span": [raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]}
+            yield {n: part[n] for n in ("h", "sp", "doc", "tid", "a", "t", "m")} | {"span": [raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]}
 
-    return _with_texts(documents, reps, how, make, "h long, doc long, tid long, a long, t int, m int, span binary")
+    return _with_texts(documents, reps, how, make, f"{RUNS}, span binary")
 
 
 def _cut(documents: DataFrame, reps: DataFrame, how: Windows, block: int) -> DataFrame:
@@ -145,13 +147,13 @@ def _cut(documents: DataFrame, reps: DataFrame, how: Windows, block: int) -> Dat
 
 def _compared(spans: DataFrame, how: Windows) -> DataFrame:
     """how.compare over whole anchors, as many at a time as TASK_BYTES hold."""
-    made = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    made = pa.schema([(n, pa.int64()) for n in ("h", "sp", "doc", "tid", "a", "start", "end")])
 
     def judged(table: pa.Table):
-        c = {n: table[n].to_numpy() for n in ("h", "doc", "tid", "a", "t", "m")}
+        c = {n: table[n].to_numpy() for n in ("h", "sp", "doc", "tid", "a", "t", "m")}
         data = np.frombuffer(b"".join(table["span"].to_pylist()), np.uint8)
         row, s, e = how.compare(c["h"], c["doc"], c["t"].astype(np.int64), c["m"].astype(np.int64), data)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c["doc"][row], c["tid"][row], c["a"][row] + s, c["a"][row] + e)], schema=made)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c["h"][row], c["sp"][row], c["doc"][row], c["tid"][row], c["a"][row], c["a"][row] + s, c["a"][row] + e)], schema=made)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -171,7 +173,7 @@ def _compared(spans: DataFrame, how: Windows) -> DataFrame:
         if held:
             yield judged(pa.Table.from_batches(held))
 
-    return spans.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "doc long, tid long, start long, end long")
+    return spans.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "h long, sp long, doc long, tid long, a long, start long, end long")
 
 
 def repeated(documents: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
@@ -194,8 +196,17 @@ def repeated(documents: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
         anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single")).filter("classes > 1" if how.earlier else "classes > 1 and single > 0")
         mixed_anchors = stored(classes.join(anchors.select("h", "classes").hint("merge"), "h"), "anchors")
         some = mixed_anchors.filter(F.col("classes") <= how.crowd)
-        out = out.unionByName(_compared(_spans(docs, some, how), how))
         crowded = mixed_anchors.filter(F.col("classes") > how.crowd)
+        found = _compared(_spans(docs, some, how), how)
+        if how.earlier:
+            one = mixed_anchors.filter("n > 1").select("h", "sp", F.col("doc").alias("least"), F.col("tid").alias("tid1"), F.col("a").alias("a1"), "classes")
+            more = stored(rows.join(one.hint("merge"), ["h", "sp"]).filter("doc = least and (tid != tid1 or a != a1)").drop("least", "tid1"), "more")
+            if not more.isEmpty():
+                found = stored(found, "found")
+                same = more.select("h", "sp", F.col("doc").alias("doc2"), F.col("tid").alias("tid2"), (F.col("a") - F.col("a1")).alias("by"))
+                out = out.unionByName(found.join(same.hint("merge"), ["h", "sp"]).select(F.col("doc2").alias("doc"), F.col("tid2").alias("tid"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end")))
+                crowded = crowded.select("h", "sp", "doc", "tid", "a", "t", "m").unionByName(more.filter(F.col("classes") > how.crowd).select("h", "sp", "doc", "tid", "a", "t", "m"))
+        out = out.unionByName(found.select("doc", "tid", "start", "end"))
         if crowded.isEmpty():
             break
         rows = stored(_cut(docs, crowded, how, block), "runs")

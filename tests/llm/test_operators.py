@@ -315,3 +315,26 @@ def test_html_keeps_all_content():
     assert html.main_text(f"<body><h1>T</h1><article>{body}</article><div>x</div></body>") == "\n".join(["T", *text])
     assert html.main_text(f"<body><h1>T</h1><div><p>{intro} {intro} {intro}</p></div><article>{body}</article><div>x</div></body>") == "\n".join(["T", f"{intro} {intro} {intro}", *text])
     assert html.main_text(f"<body><h1>T</h1><div>{body}</div></body>") == "\n".join(["T", *text])
+
+
+def test_substring_dedup_of_repeats_in_one_document(spark):
+    """Every copy of a run in its smallest document loses what an earlier document has, not the first copy only."""
+    word = iter(range(10**6))
+    fresh = lambda n: [f"w{next(word)}" for _ in range(n)]
+    p, long = fresh(60), fresh(150)
+    q, q2 = fresh(55) + p + fresh(55), fresh(55) + long + fresh(55)
+    rows = [(1, fresh(55) + p + fresh(55)), (2, q + fresh(5) + q), (3, fresh(55) + long + fresh(55)), (4, q2 + fresh(70) + q2 + fresh(3) + q2), (4, q2 + fresh(9)), (5, fresh(2) + q2), (5, fresh(2) + q + q), (6, fresh(60) + p)]
+    first = {}
+    for d, w in rows:
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), d)
+    want = Counter()
+    for d, w in rows:
+        gone = {x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < d for x in range(k, k + 50)}
+        want[d, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    for crowd in (substrings.CROWD, 2, 1):
+        substrings.WINDOWS.crowd = crowd
+        got = by_row(substrings.substring_dedup(table), "n_words", "n_removed", "kept_sha256")
+        substrings.WINDOWS.crowd = substrings.CROWD
+        assert got == want
