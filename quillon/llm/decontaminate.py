@@ -160,7 +160,10 @@ def matches(index: DataFrame, items, slop: int | None = None) -> DataFrame:
     spark = index.sparkSession
     counts = index.select(F.posexplode("terms").alias("k", "term"), "ends").select("term", (F.col("ends")[F.col("k")] - F.when(F.col("k") > 0, F.col("ends")[F.greatest(F.col("k") - 1, F.lit(0))]).otherwise(0)).alias("n"))
     total = {r[0]: r[1] for r in counts.groupBy("term").agg(F.sum("n")).collect()}  # terms of the items only
-    rarity = spark.sparkContext.broadcast(np.array([total.get(int(x), 0) for x in items.value.hashes.view(np.int64)], np.int64))
+    count = [total.get(int(x), 0) for x in items.value.hashes.view(np.int64)]
+    rank = np.zeros(len(count), np.int64)
+    rank[sorted(range(len(count)), key=lambda t: (count[t], items.value.terms[t]))] = np.arange(len(count))  # the same order of terms whatever the block
+    rarity = spark.sparkContext.broadcast(rank)
 
     def work(batch):
         rare, test = rarity.value, items.value
@@ -186,17 +189,20 @@ def matches(index: DataFrame, items, slop: int | None = None) -> DataFrame:
                     if all(post.count[t] for t in terms):
                         for d in set((np.searchsorted(first, post.near(terms, rare, slop), "right") - 1).tolist()):
                             close[d].add(item)
-            yield {"doc_id": block["doc_ids"], "n_words": np.diff(first), "spans": spans, "items": [sorted(x) for x in found], "near_items": [sorted(x) for x in close]}
+            yield {"doc_id": block["doc_ids"], "n_words": np.diff(first), "spans": [sorted(x, key=lambda s: (s["start"], s["end"])) for x in spans], "items": [sorted(x) for x in found], "near_items": [sorted(x) for x in close]}
 
     return arrow_map(index, work, "doc_id long, n_words long, spans array<struct<start long, end long>>, items array<long>, near_items array<long>")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """matches() of all test items. With several blocks of items, rows are brought together by doc_id, so repeated ids become one row there."""
+    """matches() of all test items. With several blocks of items, rows are brought together by a number of their own, so they are those that one block gives."""
     spark = documents.sparkSession
     test = pick(benchmark, "item_id", "text").dropna()
     size = test.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
+    if blocks > 1:
+        numbered = stored(pick(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+        documents = numbered.select(F.col("row").alias("doc_id"), "text")
     out = None
     for k in range(blocks):
         part = test.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else test
@@ -204,8 +210,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         found = matches(stored(build_index(documents, items), "postings"), items, slop)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
-        flat = [F.array_distinct(F.flatten(F.collect_list(n))).alias(n) for n in ("spans", "items", "near_items")]
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *flat)
+        flat = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in ("spans", "items", "near_items")]
+        out = out.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), *flat)
+        out = numbered.select("row", "doc_id").join(out.hint("merge"), "row").drop("row")
     return out
 
 

@@ -338,3 +338,16 @@ def test_substring_dedup_of_repeats_in_one_document(spark):
         got = by_row(substrings.substring_dedup(table), "n_words", "n_removed", "kept_sha256")
         substrings.WINDOWS.crowd = substrings.CROWD
         assert got == want
+
+
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    """Several blocks of items give the rows of one block, with repeated and null doc_ids too."""
+    source = ROWS[9][1].split()
+    items = [(k, " ".join(source[5 * k : 5 * k + 20])) for k in range(8)] + [(20, "one"), (21, "two one"), (22, " ".join(source[10:30])), (22, "id")]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([*ROWS, (None, " ".join(source[:40])), (None, "one"), (9, "one two"), (9, None)], "doc_id long, text string")
+    columns = ("n_words", "spans", "items", "near_items")
+    rows = lambda: Counter(map(repr, decontaminate.decontaminate(table, test, slop=3).select("doc_id", *columns).collect()))
+    want = rows()
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 300)
+    assert rows() == want and sum(want.values()) == len(ROWS) + 4
