@@ -1,5 +1,10 @@
+import re
+import zlib
+
 import duckdb
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillon.llm import chat, decontaminate, neardup, pii, quality
@@ -45,3 +50,49 @@ def test_chat_matches_sql(spark):
     c.sql(f"create view conversations as select * from '{DATA}/conversations.parquet'")
     got, want = chat.op5_chat_formatting(spark, DATA).toPandas(), c.sql(SQL["op5_chat_formatting"]).df()
     assert sorted(map(tuple, got[list(want.columns)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_run_matches_brute_force(spark):
+    """run() against plain Python; the verdicts of the fitted model and the pseudonyms are taken as given."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    docs, labels, benchmark = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
+    good = {r.doc_id for r in quality.quality(docs, labels).filter("kept").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    least = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b]) if a < b and least[a] != least[b] else 0
+            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    alone = {i for i in texts if least[i] == i}
+    kind = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    phrases = set()
+    for r in benchmark.collect():
+        w = kind.findall(r.text.translate(lower))
+        phrases |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12) if w else 0)}
+    sizes = {len(x) for x in phrases}
+    clean = set()
+    for i in alone:
+        w, hit = kind.findall(texts[i].translate(lower)), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in phrases:
+                    hit.update(range(k, k + n))
+        if not hit or 20 * len(hit) < len(w):
+            clean.add(i)
+    assert len(texts) > len(alone) > len(clean) > 0
+    given = docs.filter(docs.doc_id.isin(list(clean)))
+    new = {r.doc_id: r.text for r in pii.pseudonymized(given, pii.KEY).collect()}
+    t, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, x in new.items():
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        want += [(i, p, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for p, k in enumerate(range(0, len(ids), 2048))]
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places[:-1], places[1:], strict=True)) and all(x[1] + x[2] <= 2048 for x in places)
