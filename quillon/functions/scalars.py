@@ -67,3 +67,8 @@ def some(a: str) -> str:
 
 def none(kind: str) -> str:
     return f"named_struct('some', false, 'value', cast(NULL AS {kind}))"
+
+
+def dual(a: str) -> str:
+    """A value whose order is reversed: a lattice that merges duals by max keeps the smallest value. The field is `dual`."""
+    return f"named_struct('dual', {a})"

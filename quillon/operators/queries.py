@@ -16,6 +16,8 @@ TABLES = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double",
 }
+#: Primary keys; (l_orderkey, l_linenumber) of lineitem isn't one.
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -23,7 +25,7 @@ SQL: dict[str, str] = {}
 def table(e: Engine, d: str, name: str) -> str:
     """Declare a driver table; only its columns above are read."""
     columns = [c.split()[0] for c in TABLES[name].split(", ")]
-    e.relation(name, TABLES[name], e.spark.read.parquet(f"{d}/{name}.parquet").select(*columns))
+    e.relation(name, TABLES[name], e.spark.read.parquet(f"{d}/{name}.parquet").select(*columns), key=[KEYS[name]] if name in KEYS else None)
     return name
 
 

@@ -14,7 +14,7 @@ def feed(stream: DataFrame, engine: Engine, relation: str, checkpoint: str, afte
     """Start a query that keeps the engine's relations up to date with the stream. Rows that come again change nothing, so a replayed batch is harmless."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        engine.insert(relation, rows)
+        engine.insert(relation, rows, written=True)
         engine.run_incremental()
         if after:
             after(engine, number)
