@@ -6,20 +6,22 @@ windows have equal anchors at the same place, and successive windows mostly shar
 one. The windows of a document fall into runs with a common anchor, one run in about
 (w - k) / 2 elements, and only runs are shuffled:
 
-1. Runs with equal text form a class; its windows all repeat as a whole. Copies,
-   however many, are counted before the shuffle.
-2. Where an anchor has several classes their texts differ somewhere: one text of
-   each class goes to the task of its anchor, which compares windows exactly
-   (`compare`, the method of the operator). What is found there holds for every run
-   of the class; where only earlier documents count, the class's runs in its own
-   smallest document are the ones that step 1 leaves open, and get it by a join.
-3. An anchor with more than `crowd` classes is not put in one task: its runs are cut
+1. Runs with equal text form a class, counted before the shuffle; from here on one
+   text stands for the class, with its number of runs and its smallest doc. This
+   only shrinks what follows: with `merge` off every run is a class of its own, and
+   results are the same.
+2. The texts of an anchor's classes go to one task, where `compare`, the method of
+   the operator, finds the windows that repeat. What it finds for a class holds for
+   all its runs, or, where only earlier documents count and the class itself is the
+   earlier one, for its runs in later documents.
+3. An anchor with more than `crowd` classes is not put in one task: its texts are cut
    into blocks of windows, keyed by the elements that all windows of the block have
-   in common, and go through the same steps; what is still crowded then is cut
-   into single windows, for which counting alone (step 1) is exact.
+   in common, and the blocks go through the same steps; what is still crowded then
+   is cut into single windows, whose anchors have one class each. What is found
+   for blocks goes back to the classes they were cut from.
 
-Nothing is dropped or capped on the way. Windows are recognised by 64-bit hashes in
-steps 1 and 3 and by their elements in step 2.
+Nothing is dropped or capped on the way. Anchors and classes are recognised by
+64-bit hashes, windows in step 2 by their elements.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Rolling, Texts, U, arrow_map, mixed, squeezed, stored, unsqueezed
+from quillon.llm.common import Rolling, Texts, U, arrow_map, dropped, mixed, released, squeezed, stored, unsqueezed
 
 TASK_BYTES = 4 << 20
 _AT = U((1 << 34) - 1)
 RUNS = "h long, sp long, doc long, tid long, a long, t int, m int"
+CUT = f"{RUNS}, n long, ph long, psp long, pa long"  # with the number of runs and the class and place it was cut from
 NO_DOC = -(1 << 63)
 
 
@@ -71,10 +74,13 @@ def runs(values: np.ndarray, first: np.ndarray, w: int, k: int):
 
 
 class Windows:
-    """How documents become elements. split(Texts) yields (first row, row after the last, values, offsets in elements, elements as bytes of `width` each)."""
+    """How documents become elements. split(Texts) yields (first row, row after the last, values, offsets in elements, elements as bytes of `width` each).
 
-    def __init__(self, w: int, k: int, block: int, width: int, split: Callable[[Texts], Iterator], compare: Callable, earlier: bool, crowd: int):
-        self.w, self.k, self.block, self.width, self.split, self.compare, self.earlier, self.crowd = w, k, block, width, split, compare, earlier, crowd
+    compare(h, doc, n, t, m, data) yields (row, start, end, others) of what repeats in texts of m + w elements whose anchor begins at t.
+    """
+
+    def __init__(self, w: int, k: int, block: int, width: int, split: Callable[[Texts], Iterator], compare: Callable, earlier: bool, crowd: int, merge: bool = True):
+        self.w, self.k, self.block, self.width, self.split, self.compare, self.earlier, self.crowd, self.merge = w, k, block, width, split, compare, earlier, crowd, merge
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -96,15 +102,15 @@ def _all_runs(documents: DataFrame, how: Windows) -> DataFrame:
 
 
 def _with_texts(documents: DataFrame, reps: DataFrame, how: Windows, make: Callable, schema: str) -> DataFrame:
-    """make(row's runs, values, elements' bytes, roll) for the documents of reps (doc, tid, h, sp, a, t, m)."""
-    per = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("h", "sp", "a", "t", "m")).alias("runs"))  # some runs of one document
+    """make(row's runs, values, elements' bytes) for the documents of reps (doc, tid, h, sp, a, t, m, n)."""
+    per = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("h", "sp", "a", "t", "m", "n")).alias("runs"))  # some runs of one document
     texts = documents.join(per.hint("merge"), ["doc", "tid"])  # a repeated row gives its runs again, which changes no result
 
     def work(batch):
         doc, tid = batch["doc"].to_numpy(), batch["tid"].to_numpy()
         found = batch["runs"]
         flat, ends = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
-        columns = {n: flat.field(n).to_numpy() for n in ("h", "sp", "a", "t", "m")}
+        columns = {n: flat.field(n).to_numpy() for n in ("h", "sp", "a", "t", "m", "n")}
         for i, j, values, first, raw in how.split(unsqueezed(batch["z"], batch["size"])):
             lo, hi = ends[i], ends[j]
             row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
@@ -120,9 +126,9 @@ def _spans(documents: DataFrame, reps: DataFrame, how: Windows) -> DataFrame:
         for lo in range(0, len(r["h"]), 4000):
             part = {n: c[lo : lo + 4000] for n, c in r.items()}
             begin, end = part["at"] * how.width, (part["at"] + part["m"] + how.w) * how.width
-            yield {n: part[n] for n in ("h", "sp", "doc", "tid", "a", "t", "m")} | {"span": [raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]}
+            yield {n: part[n] for n in ("h", "sp", "doc", "t", "m", "n")} | {"span": [raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]}
 
-    return _with_texts(documents, reps, how, make, f"{RUNS}, span binary")
+    return _with_texts(documents, reps, how, make, "h long, sp long, doc long, t int, m int, n long, span binary")
 
 
 def _cut(documents: DataFrame, reps: DataFrame, how: Windows, block: int) -> DataFrame:
@@ -140,20 +146,24 @@ def _cut(documents: DataFrame, reps: DataFrame, how: Windows, block: int) -> Dat
         a, b = p[of] - t1, p[of] - t0
         h = mixed(core + r["h"][of].view(np.uint64) * U(3) + j.astype(np.uint64) * U(0x9E3779B97F4A7C15))
         sp = mixed(roll.hashes(a, b + how.w) + U(0x9E3779B97F4A7C15) * (t1 * 2 * how.w + t1 - t0).astype(np.uint64))
-        yield {"h": h.view(np.int64), "sp": sp.view(np.int64), "doc": r["doc"][of], "tid": r["tid"][of], "a": r["a"][of] + a - r["at"][of], "t": t1.astype(np.int32), "m": (t1 - t0).astype(np.int32)}
+        yield {"h": h.view(np.int64), "sp": sp.view(np.int64), "doc": r["doc"][of], "tid": r["tid"][of], "a": r["a"][of] + a - r["at"][of], "t": t1.astype(np.int32), "m": (t1 - t0).astype(np.int32), "n": r["n"][of], "ph": r["h"][of], "psp": r["sp"][of], "pa": r["a"][of]}
+
+    return _with_texts(documents, reps, how, make, CUT)
 
-    return _with_texts(documents, reps, how, make, RUNS)
+
+FOUND = "h long, sp long, least long, start long, end long, others boolean"
 
 
 def _compared(spans: DataFrame, how: Windows) -> DataFrame:
-    """how.compare over whole anchors, as many at a time as TASK_BYTES hold."""
-    made = pa.schema([(n, pa.int64()) for n in ("h", "sp", "doc", "tid", "a", "start", "end")])
+    """how.compare over whole anchors, as many at a time as TASK_BYTES hold: pieces of classes, from their run's first window on; others: only of runs in docs after least."""
+    limit = TASK_BYTES
+    made = pa.schema([*((n, pa.int64()) for n in ("h", "sp", "least", "start", "end")), ("others", pa.bool_())])
 
     def judged(table: pa.Table):
-        c = {n: table[n].to_numpy() for n in ("h", "sp", "doc", "tid", "a", "t", "m")}
+        c = {n: table[n].to_numpy() for n in ("h", "sp", "doc", "t", "m", "n")}
         data = np.frombuffer(b"".join(table["span"].to_pylist()), np.uint8)
-        row, s, e = how.compare(c["h"], c["doc"], c["t"].astype(np.int64), c["m"].astype(np.int64), data)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c["h"][row], c["sp"][row], c["doc"][row], c["tid"][row], c["a"][row], c["a"][row] + s, c["a"][row] + e)], schema=made)
+        row, s, e, others = how.compare(c["h"], c["doc"], c["n"], c["t"].astype(np.int64), c["m"].astype(np.int64), data)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c["h"][row], c["sp"][row], c["doc"][row], s, e, others)], schema=made)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -163,17 +173,19 @@ def _compared(spans: DataFrame, how: Windows) -> DataFrame:
                 part = batch.slice(lo, 2000)
                 held.append(part)
                 size += part.nbytes
-                if size > TASK_BYTES:
+                if size > limit:
                     table = pa.Table.from_batches(held)
                     h = table["h"].to_numpy()
                     whole = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
                     if whole:
                         yield judged(table.slice(0, whole))
-                        held, size = table.slice(whole).combine_chunks().to_batches(), table.slice(whole).nbytes
+                        rest = table.slice(whole)
+                        held, size = rest.combine_chunks().to_batches(), rest.nbytes
         if held:
             yield judged(pa.Table.from_batches(held))
+        released()
 
-    return spans.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "h long, sp long, doc long, tid long, a long, start long, end long")
+    return spans.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, FOUND)
 
 
 def repeated(documents: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
@@ -181,36 +193,30 @@ def repeated(documents: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(documents)
     docs = squeezed(keyed)
     rows = stored(_all_runs(keyed, how), "runs")
-    out = None
+    levels = []
     for block in (how.block, 1, 0):
-        per = rows.groupBy("h", "sp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tid", "a", "t", "m")).alias("rep"))
-        classes = stored(per.select("h", "sp", "n", "rep.*"), "classes")
-        again = classes.filter("n > 1").select("h", "sp", F.col("doc").alias("least"))
-        whole = rows.join(again.hint("merge"), ["h", "sp"])
-        if how.earlier:
-            whole = whole.filter("doc > least")
-        whole = whole.select("doc", "tid", F.col("a").alias("start"), (F.col("a") + F.col("m") + how.w).alias("end"))
-        out = whole if out is None else out.unionByName(whole)
-        if not block:
-            break
-        anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single")).filter("classes > 1" if how.earlier else "classes > 1 and single > 0")
-        mixed_anchors = stored(classes.join(anchors.select("h", "classes").hint("merge"), "h"), "anchors")
-        some = mixed_anchors.filter(F.col("classes") <= how.crowd)
-        crowded = mixed_anchors.filter(F.col("classes") > how.crowd)
-        found = _compared(_spans(docs, some, how), how)
-        if how.earlier:
-            one = mixed_anchors.filter("n > 1").select("h", "sp", F.col("doc").alias("least"), F.col("tid").alias("tid1"), F.col("a").alias("a1"), "classes")
-            more = stored(rows.join(one.hint("merge"), ["h", "sp"]).filter("doc = least and (tid != tid1 or a != a1)").drop("least", "tid1"), "more")
-            if not more.isEmpty():
-                found = stored(found, "found")
-                same = more.select("h", "sp", F.col("doc").alias("doc2"), F.col("tid").alias("tid2"), (F.col("a") - F.col("a1")).alias("by"))
-                out = out.unionByName(found.join(same.hint("merge"), ["h", "sp"]).select(F.col("doc2").alias("doc"), F.col("tid2").alias("tid"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end")))
-                crowded = crowded.select("h", "sp", "doc", "tid", "a", "t", "m").unionByName(more.filter(F.col("classes") > how.crowd).select("h", "sp", "doc", "tid", "a", "t", "m"))
-        out = out.unionByName(found.select("doc", "tid", "start", "end"))
+        if not how.merge:
+            rows = rows.withColumn("sp", F.xxhash64("sp", "doc", "tid", "a"))
+        n = F.sum("n") if levels else F.count(F.lit(1))
+        classes = stored(rows.groupBy("h", "sp").agg(n.alias("n"), F.min(F.struct("doc", "tid", "a", "t", "m")).alias("rep")).select("h", "sp", "n", "rep.*"), "classes")
+        anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("most")).filter("classes > 1 or most > 1")
+        live = stored(classes.join(anchors.select("h", "classes").hint("merge"), "h"), "anchors")
+        dropped(classes)
+        crowded = live.filter(F.col("classes") > how.crowd) if block else live.limit(0)
+        found = stored(_compared(_spans(docs, live.filter(F.col("classes") <= how.crowd) if block else live, how), how), "found")
+        levels.append((rows, found))
         if crowded.isEmpty():
             break
         rows = stored(_cut(docs, crowded, how, block), "runs")
-    return docs, out
+    rows, found = levels.pop()
+    while levels:
+        # a piece of a block goes to the class it was cut from: to all its runs, or, where the class has the smallest doc itself, to its others
+        up = rows.join(found.hint("merge"), ["h", "sp"]).filter("not others or doc > least or n > 1")
+        up = up.select(F.col("ph").alias("h"), F.col("psp").alias("sp"), F.col("doc").alias("least"), (F.col("start") + F.col("a") - F.col("pa")).alias("start"), (F.col("end") + F.col("a") - F.col("pa")).alias("end"), (F.col("others") & (F.col("doc") == F.col("least"))).alias("others"))
+        rows, before = levels.pop()
+        found = before.unionByName(up)
+    pieces = rows.join(found.hint("merge"), ["h", "sp"]).filter("not others or doc > least")
+    return docs, pieces.select("doc", "tid", (F.col("start") + F.col("a")).alias("start"), (F.col("end") + F.col("a")).alias("end"))
 
 
 def with_pieces(documents: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -1,14 +1,23 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts elsewhere.
 
-Threshold-bounded interval expansion: the suffixes that begin at one anchor are
-sorted, as rows of a suffix array; the byte before each is its Burrows-Wheeler
-byte. Breadth-first backward extension splits the interval of the anchor by that
-byte, level by level; rows keep their order, so the common prefix of neighbours in
-a child interval is the least of those between them, plus one for each level.
-Windows at a level repeat exactly where that reaches `length`; intervals of one
-row are dropped, and no level goes beyond the first byte a window can have before
-its anchor. The array is partitioned by anchors (see repeats), so no part of it
-is larger than one anchor's texts.
+Threshold-bounded interval expansion on a Burrows-Wheeler transform. Rows are the
+suffixes that begin at one anchor, so the transform is a sparse one, with a row for
+each text of the anchor. Two breadth-first backward extensions follow each other:
+
+1. On the transform of the reversed texts, where extending backwards appends the next
+   byte. All rows of an anchor are one interval; level by level it is split by that
+   byte, and rows that part at level l have a common prefix of l. So the rows come
+   in order and their common prefixes in increasing value, up to `length`, where
+   expansion stops. No two suffixes are ever compared.
+2. On the transform of the texts. Each interval is split by the byte before, level by
+   level; the common prefix of neighbours in a child interval is the least of those
+   between them, plus one for each level. Windows at a level repeat exactly where
+   that reaches `length`, or where a row stands for several equal texts. Intervals
+   of one row are dropped, and no level goes beyond the first byte a window can have
+   before its anchor.
+
+The array is partitioned by anchors (see repeats), so no part of it is larger than
+one anchor's texts.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing;
 repeated rows are separate texts and so repeat each other; an empty table gives no
@@ -34,28 +43,52 @@ def _bytes(texts: Texts):
         yield i, j, BYTE_VALUES[data], offsets, data.tobytes()
 
 
-def expand(group: np.ndarray, t: np.ndarray, m: np.ndarray, data: np.ndarray, w: int) -> np.ndarray:
-    """mark[row, x]: whether the window that starts x bytes before the row's anchor repeats within its group.
+def prefixes(group: np.ndarray, at: np.ndarray, right: np.ndarray, data: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their texts from `at` on, by group, and the common prefix of each with the row before: w at most, -1 where a group begins.
 
-    A row's text is m + w bytes of data, its anchor t bytes into it; rows of a group are together.
+    Row r has right[r] bytes from at[r] on; rows of a group are together.
     """
     n = len(group)
+    rows = np.arange(n)
+    lcp = np.full(n, w)
+    lcp[:1] = -1
+    lcp[1:][group[1:] != group[:-1]] = -1
+    open_ = rows  # places whose interval has two rows or more
+    for level in range(w):
+        parted = lcp[open_] < w
+        alone = parted & np.append(parted[1:], True)
+        if alone.any():
+            open_, parted = open_[~alone], parted[~alone]
+        if not len(open_):
+            break
+        r = rows[open_]
+        byte = np.where(level < right[r], data[np.minimum(at[r] + level, len(data) - 1)].astype(np.int64) + 1, 0)
+        interval = np.cumsum(parted) - 1
+        split = byte != byte[np.flatnonzero(parted)][interval]
+        if split.any():
+            some = np.flatnonzero(np.bincount(interval[split], minlength=interval[-1] + 1)[interval])
+            turn = np.argsort(interval[some] * 257 + byte[some], kind="stable")
+            rows[open_[some]] = r[some[turn]]
+            key, of = byte[some[turn]], interval[some]
+            lcp[open_[some[1:][(of[1:] == of[:-1]) & (key[1:] != key[:-1])]]] = level
+    ended = np.minimum(right[rows], np.append([w], right[rows[:-1]]))  # texts that end together part there
+    return rows, np.minimum(lcp, ended[:n])
+
+
+def expand(group: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, data: np.ndarray, w: int) -> np.ndarray:
+    """mark[row, x]: whether the window that starts x bytes before the row's anchor repeats within its group.
+
+    A row's text is m + w bytes of data, its anchor t bytes into it, and it stands for n equal texts; rows of a group are together.
+    """
     at = np.concatenate(([0], np.cumsum(m + w)))[:-1] + t
-    right = m + w - t
-    mark = np.zeros((n, int(t.max(initial=0)) + 1), bool)
-    column = np.arange(w)
-    suffix = data[np.minimum(at[:, None] + column, len(data) - 1)]
-    suffix[column >= right[:, None]] = 0
-    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{w}").ravel(), kind="stable")
-    rows = order[np.argsort(group[order], kind="stable")]
-    same = suffix[rows[1:]] == suffix[rows[:-1]]
-    common = np.minimum(np.where(same.all(1), w, same.argmin(1)), np.minimum(right[rows[1:]], right[rows[:-1]]))
-    lcp = np.concatenate(([-1], np.where(group[rows[1:]] == group[rows[:-1]], common, -1)))
+    level = np.arange(int(t.max(initial=0)) + 1)
+    mark = (n > 1)[:, None] & (level >= (t - m)[:, None]) & (level <= t[:, None])
+    rows, lcp = prefixes(group, at, m + w - t, data, w)
     for level in range(mark.shape[1]):
         if len(rows) < 2:
             break
         linked = np.concatenate((lcp >= w - level, [False]))
-        mark[rows, level] = linked[:-1] | linked[1:]
+        mark[rows, level] |= linked[:-1] | linked[1:]
         on = np.flatnonzero(t[rows] > level)
         interval = np.cumsum(lcp < 0)
         key = interval[on] * 256 + data[at[rows[on]] - level - 1]
@@ -77,14 +110,14 @@ def expand(group: np.ndarray, t: np.ndarray, m: np.ndarray, data: np.ndarray, w:
     return mark
 
 
-def _compare(h, doc, t, m, data):
+def _compare(h, doc, n, t, m, data):
     mark = np.zeros((len(h), LENGTH - GRAM + 3), np.int8)
-    found = expand(np.unique(h, return_inverse=True)[1], t, m, data, LENGTH)
+    found = expand(np.unique(h, return_inverse=True)[1], n, t, m, data, LENGTH)
     mark[:, 1 : found.shape[1] + 1] = found
     edge = np.diff(mark, axis=1)
     row, begin = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)  # levels begin .. end - 1
-    return row, t[row] - end + 1, t[row] - begin + LENGTH
+    return row, t[row] - end + 1, t[row] - begin + LENGTH, np.zeros(len(row), bool)
 
 
 WINDOWS = Windows(LENGTH, GRAM, BLOCK, 1, _bytes, _compare, False, CROWD)

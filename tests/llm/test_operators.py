@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quillon.llm import chat, decontaminate, html, neardup, packing, pii, quality, substrings, suffixes, tokencount
+from quillon.llm import chat, decontaminate, html, neardup, packing, pii, quality, repeats, substrings, suffixes, tokencount
 
 DATA = "/root/testdata/sf0.001"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,7 +153,7 @@ def test_chat(spark):
     assert chat.folded(spark.createDataFrame([], chat.EVENTS)).count() == 0
 
 
-def test_suffix_dedup(docs, empty):
+def test_suffix_dedup(docs, empty, monkeypatch):
     raw = [(i, (t or "").encode()) for i, t in ROWS]
     seen = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
     want = Counter()
@@ -164,14 +164,15 @@ def test_suffix_dedup(docs, empty):
                 gone[k : k + 400] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want[i, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    for crowd in (suffixes.CROWD, 2):  # with 2, nearly every anchor is cut
-        suffixes.WINDOWS.crowd = crowd
-        assert by_row(suffixes.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
-    suffixes.WINDOWS.crowd = suffixes.CROWD
+    for crowd, merge, size in ((suffixes.CROWD, True, repeats.TASK_BYTES), (2, True, 20_000), (suffixes.CROWD, False, 20_000), (1, False, 1)):  # with few texts nearly every anchor is cut; with few bytes a task's anchors are worked on one by one
+        monkeypatch.setattr(suffixes.WINDOWS, "crowd", crowd)
+        monkeypatch.setattr(suffixes.WINDOWS, "merge", merge)
+        monkeypatch.setattr(repeats, "TASK_BYTES", size)
+        assert by_row(suffixes.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want, (crowd, merge)
     assert suffixes.suffix_dedup(empty).count() == 0
 
 
-def test_substring_dedup(docs, empty):
+def test_substring_dedup(docs, empty, monkeypatch):
     low = -1
     split = [(low if i is None else i, i, (t or "").encode().split()) for i, t in ROWS]
     first = {}
@@ -182,10 +183,11 @@ def test_substring_dedup(docs, empty):
     for d, i, w in split:
         gone = {x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < d for x in range(k, k + 50)}
         want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
-    for crowd in (substrings.CROWD, 2):
-        substrings.WINDOWS.crowd = crowd
-        assert by_row(substrings.substring_dedup(docs), "n_words", "n_removed", "kept_sha256") == want
-    substrings.WINDOWS.crowd = substrings.CROWD
+    for crowd, merge, size in ((substrings.CROWD, True, repeats.TASK_BYTES), (2, True, 20_000), (substrings.CROWD, False, 20_000), (1, False, 1)):
+        monkeypatch.setattr(substrings.WINDOWS, "crowd", crowd)
+        monkeypatch.setattr(substrings.WINDOWS, "merge", merge)
+        monkeypatch.setattr(repeats, "TASK_BYTES", size)
+        assert by_row(substrings.substring_dedup(docs), "n_words", "n_removed", "kept_sha256") == want, (crowd, merge)
     assert substrings.substring_dedup(empty).count() == 0
 
 
