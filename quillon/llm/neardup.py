@@ -8,24 +8,23 @@
    one task. Neighbours with a common prefix of at least MIN_PREFIX values are
    candidates. Depth adapts to the region: where a prefix has at most REGION
    classes all its pairs are candidates; where it has more, longer prefixes are
-   asked for, and a region that is crowded down to the last value takes the next
-   NEXT classes of an order that differs from tree to tree; step 5 has the rest.
+   asked for, and where even those are crowded the next NEXT classes of an order
+   that differs from tree to tree. All classes of a region that is crowded at
+   MIN_PREFIX values are remembered for step 5.
 3. A candidate is a link if 100 * |A and B| >= threshold * |A or B|, on the sets
    themselves, made again from the texts. First one candidate for each class, the
    one that most trees agree on; then, of the others, those whose ends aren't yet
    in one component. What is left out can't change any component.
 4. Components by alternating large-star and small-star steps.
-5. Regions crowded down to the last value whose classes aren't in one component by
-   then: every class outside the region's largest component meets all classes of
-   other components there, so no candidate is lost to crowding. Shingles that a
-   class shares with no other crowded class, and bits of its set, bound what two can
-   have in common and rule out nearly all of these pairs before texts are read.
-
-At a similarity of 0.85 a pair has a common prefix of 4 in one of the 24 trees with
-probability above 0.9999999. Regions that are crowded at 4 or 5 values but not at 6
-are an exception: their pairs are sure to meet only on 6 values, so such a pair is
-missed with a probability of up to (1 - 0.85^6)^24 = 1.2e-5. So are tables whose
-range partitions have fewer rows than REGION: only adjacent partitions meet.
+5. Crowded regions whose classes aren't in one component by then: their classes meet
+   by an exact similarity join. Shingles are ordered from rare to common; two sets
+   that are similar enough share one among the first of both, as many as a set may
+   lack, so classes meet on those alone. Common passages come last in that order and
+   bring nothing together. Pairs within a component are never made, and bits of the
+   sets rule out nearly all others before texts are read.
+
+So a pair is found if it has a common prefix of 4 in one of the 24 trees, crowded or
+not: at a similarity of 0.85 with a probability above 0.9999999.
 
 Defined results: a null text, an empty text or one without words has an empty set,
 links with nothing and is its own component; a row with a null doc_id links with
@@ -47,6 +46,8 @@ from quillon.llm.common import LOWER, NOT_SPACE, Texts, U, arrow_map, dropped, m
 SHINGLE, THRESHOLD = 3, 85
 TREES, DEPTH, MIN_PREFIX = 24, 6, 4
 REGION, NEXT = 12, 2
+ROWS_PER_RANGE = 1000  # of an order, at least, in a range partition: only adjacent ones meet
+BUCKETS = 1 << 18  # counters by which shingles are ordered from rare to common
 MAPS = 16  # longs of bits that stand for a set: the top 4 bits of a hash choose one
 _SEEDS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
 
@@ -100,17 +101,20 @@ def signatures(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def _pairs(keys: np.ndarray, ids: np.ndarray, out: list) -> np.ndarray:
-    """Candidates among rows sorted by key (uint32 values: tree, then its signature values); returns the rows whose whole key is crowded."""
+    """Candidates among rows sorted by key (uint32 values: tree, then its signature values); returns the rows in regions crowded at MIN_PREFIX values."""
     n = len(ids)
     if n < 2:
         return np.zeros(0, np.int64)
     same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(1) - 1  # common prefix with the row before; -1: another tree
     depth = np.full(n, DEPTH + 1)  # the shortest prefix from MIN_PREFIX whose region is small enough
+    crowded = np.zeros(0, np.int64)
     for d in range(MIN_PREFIX, DEPTH + 1):
         cut = np.concatenate(([True], same < d))
         region = np.cumsum(cut) - 1
         size = np.bincount(region)[region]
         depth = np.where((depth > DEPTH) & (size <= REGION), d, depth)
+        if d == MIN_PREFIX:
+            crowded = np.flatnonzero(size > REGION)
     low = same.copy()
     for step in range(1, min(REGION, n)):
         if step > 1:
@@ -123,16 +127,17 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, out: list) -> np.ndarray:
             break
         k = np.flatnonzero(near)
         out.append((np.minimum(ids[k], ids[k + step]), np.maximum(ids[k], ids[k + step])))
-    return np.flatnonzero(depth > DEPTH)
+    return crowded
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, trees) of classes (doc_id, signature) with a < b that the forest brings together, and the rows (doc_id, tree, key) of crowded whole keys."""
+    """Pairs (a, b, trees) of classes (doc_id, signature) with a < b that the forest brings together, and the rows (doc_id, tree, key) of crowded regions, whose key is MIN_PREFIX values."""
     spark = classes.sparkSession
     width = 4 * DEPTH
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("signature", t * width + 1, F.lit(width)).alias("key")))
     rows = classes.select("doc_id", F.explode(trees).alias("t")).select("doc_id", "t.tree", "t.key", F.xxhash64("doc_id", "t.tree").alias("turn"))
-    rows = rows.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tree", "key", "turn").sortWithinPartitions("tree", "key", "turn")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * TREES // ROWS_PER_RANGE))
+    rows = rows.repartitionByRange(parts, "tree", "key", "turn").sortWithinPartitions("tree", "key", "turn")
 
     def run(batches):
         """Pairs within the partition, and its first and last rows, so that neighbours in two partitions meet later."""
@@ -187,58 +192,75 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("key", pa.binary())])
     edges = found.filter("edge >= 0").groupBy("edge").applyInArrow(across, "a long, b long, tree int, key binary")  # a few rows for each partition
     pairs = found.filter("edge is null").select("a", "b").unionByName(edges.filter("b is not null").select("a", "b")).filter("a < b")
-    crowded = found.filter("edge = -1").select("a", "tree", "key").unionByName(edges.filter("b is null").select("a", "tree", "key")).distinct()
+    crowded = found.filter("edge = -1").select("a", "tree", "key").unionByName(edges.filter("b is null").select("a", "tree", "key"))
+    crowded = crowded.select("a", "tree", F.substring("key", 1, 4 * MIN_PREFIX).alias("key")).distinct()
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")), crowded.withColumnRenamed("a", "doc_id")
 
 
-def private(ids: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and own, the number of shingles that no other document in ids has, where there are any."""
+def _rarity(sets: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of the sets (z, size) fall into each of BUCKETS counters."""
 
     def work(batch):
-        for i, j, s, ends in shingle_sets(unsqueezed(batch["z"], batch["size"]), k):
-            doc = np.repeat(batch["doc_id"].to_numpy()[i:j], np.diff(np.concatenate(([0], ends))))
-            for lo in range(0, len(s), 200_000):
-                yield {"doc_id": doc[lo : lo + 200_000], "shingle": s[lo : lo + 200_000].view(np.int64)}
+        total = np.zeros(BUCKETS, np.int64)
+        for _, _, s, _ in shingle_sets(unsqueezed(batch["z"], batch["size"]), k):
+            total += np.bincount((s >> U(46)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield {"bucket": at, "n": total[at]}
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in arrow_map(sets.select("z", "size"), work, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
+        counts[r[0]] = r[1]
+    return counts
 
-    shingles = arrow_map(texts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "z", "size"), work, "doc_id long, shingle long")
-    single = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc_id")).filter("docs = 1")
-    return single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
 
+def _first_shingles(sets: DataFrame, threshold: int, k: int) -> DataFrame:
+    """token, doc_id, part, n and m0 .. m15 for the rarest shingles of each set (doc_id, part, z, size), as many as a set at the threshold may lack, and one more.
 
-def bitmaps(ids: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and m0 .. m15: 1024 bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles as their bits do."""
+    The maps are 1024 bits, each the parity of the shingles that hash to it: two sets differ in at least as many shingles as their bits do.
+    """
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets, k))  # 2 MB
 
     def work(batch):
         for i, j, s, ends in shingle_sets(unsqueezed(batch["z"], batch["size"]), k):
-            row = np.repeat(np.arange(j - i), np.diff(np.concatenate(([0], ends))))
+            begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
+            n = ends - begin
+            row = np.repeat(np.arange(j - i), n)
             maps = np.zeros((j - i, MAPS), np.uint64)
             np.bitwise_xor.at(maps, (row, (s >> U(60)).astype(np.int64)), U(1) << ((s >> U(54)) & U(63)))
-            yield {"doc_id": batch["doc_id"].slice(i, j - i)} | {f"m{c}": np.ascontiguousarray(maps[:, c]).view(np.int64) for c in range(MAPS)}
+            often = rarity.value[(s >> U(46)).astype(np.int64)]
+            order = np.lexsort((s, often, row))
+            place = np.arange(len(s)) - begin[row]
+            at = np.flatnonzero((place < (n + (-threshold * n) // 100 + 1)[row]) & (often[order] > 1))  # alone in its counter, it is in no other set
+            for lo in range(0, len(at), 100_000):
+                some = at[lo : lo + 100_000]
+                of = row[some]
+                yield {"token": s[order[some]].view(np.int64), "n": n[of], "doc_id": batch["doc_id"].to_numpy()[i + of], "part": batch["part"].to_numpy()[i + of]} | {f"m{c}": maps[of, c].view(np.int64) for c in range(MAPS)}
 
-    return arrow_map(texts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "z", "size"), work, "doc_id long, " + ", ".join(f"m{c} long" for c in range(MAPS)))
+    return arrow_map(sets, work, "token long, n long, doc_id long, part long, " + ", ".join(f"m{c} long" for c in range(MAPS)))
 
 
-def unsettled(crowded: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, salts: int = 32) -> DataFrame:
-    """Pairs (a, b) that share a crowded key and aren't in one component (joined) yet: all of them that can be links.
+def unsettled(crowded: DataFrame, joined: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, salts: int = 32) -> DataFrame:
+    """Pairs (a, b) of classes from crowded regions that aren't in one component (joined) yet: all of them that can be links.
 
-    Pairs within a component are never made: in a region, only the classes outside its largest component
-    meet the others. A region's rows are dealt over `salts` tasks. sizes: doc_id, n_shingles.
+    Pairs within a component are never made: on a shingle, only the classes outside the component that most
+    of its classes are in meet the others. Rows of a region or shingle are dealt over `salts` tasks.
     """
-    rows = crowded.join(joined, "doc_id", "left").select("doc_id", "tree", "key", F.coalesce("component_id", "doc_id").alias("part"))
-    per = rows.groupBy("tree", "key", "part").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("tree", "key").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("tree", "key", F.col("most.part").alias("top"))
-    rows = stored(rows.join(top, ["tree", "key"]), "crowded")
-    if rows.isEmpty():
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    rows = salted(crowded.join(joined, "doc_id", "left").select("doc_id", "tree", "key", F.coalesce("component_id", "doc_id").alias("part")))
+    parted = rows.groupBy("tree", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("tree", "key", every)
+    ids = stored(rows.join(parted, ["tree", "key", "salt"], "left_semi").select("doc_id", "part").distinct(), "crowded")
+    if ids.isEmpty():
         return crowded.sparkSession.createDataFrame([], "a long, b long")
-    # what a class can have in common with others at most; without enough of it, it has no links
-    most = rows.select("doc_id").distinct().join(sizes, "doc_id").join(private(rows, texts, k), "doc_id", "left").select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"))
-    rows = rows.join(most.filter(f"100 * most >= {threshold} * n").join(bitmaps(rows, texts, k), "doc_id"), "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    rows = stored(rows, "crowded")
-    few = rows.filter("part != top").select("tree", "key", F.col("doc_id").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"), *[F.col(f"m{c}").alias(f"x{c}") for c in range(MAPS)], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    able = f"part != part_x and (part = top or x < doc_id) and 100 * least(most, most_x) >= {threshold} * (n + n_x - least(most, most_x))"
+    sets = stored(texts.join(ids, "doc_id").select("doc_id", "part", "z", "size"), "sets")
+    first = stored(salted(_first_shingles(sets, threshold, k)), "shingles")
+    per = first.groupBy("token", "part").agg(F.count(F.lit(1)).alias("rows"))
+    top = per.groupBy("token").agg(F.max(F.struct("rows", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("most.part").alias("top"), every)
+    first = stored(first.join(top, ["token", "salt"]), "shingles")
+    few = first.filter("part != top").select("token", F.col("doc_id").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), *[F.col(f"m{c}").alias(f"x{c}") for c in range(MAPS)], every)
     differ = " + ".join(f"bit_count(m{c} ^ x{c})" for c in range(MAPS))
-    able += f" and 100 * (n + n_x - ({differ})) >= {threshold} * (n + n_x + ({differ}))"
-    met = few.join(rows, ["tree", "key", "salt"]).filter(able)
+    able = f"part != part_x and (part = top or x < doc_id) and 100 * least(n, n_x) >= {threshold} * greatest(n, n_x) and 100 * (n + n_x - ({differ})) >= {threshold} * (n + n_x + ({differ}))"
+    met = few.join(first, ["token", "salt"]).filter(able)
     return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
@@ -319,7 +341,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, k: int = S
     if not rest.isEmpty():
         first = stored(first.unionByName(links(rest, texts, threshold, k)), "links")
         joined = components(first)
-    more = stored(unsettled(crowded, joined, classes.select("doc_id", "n_shingles"), texts, threshold, k).join(pairs, ["a", "b"], "left_anti"), "more")
+    more = stored(unsettled(crowded, joined, texts, threshold, k).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         joined = components(first.unionByName(links(more, texts, threshold, k)))
     of_class = classes.select("set_hash", F.col("doc_id").alias("class_id")).join(joined.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
