@@ -4,7 +4,8 @@ A log has a row for each event of a conversation: conv_id, seq, message_id, kind
 role, text. Kinds: `message` sets a message's role and text, `delta` adds text to
 it, `edit` replaces its text, `regenerate` empties it and waits for new deltas,
 `delete` takes it out. Events are partitioned by conversation and sorted by seq
-(ties by kind, role and text); a message keeps the place of its first event.
+(ties by kind, role and text); a message keeps the place of its first event, and
+messages of one place are in order of role, text and message_id.
 
 Template: a turn is `### role`, a line feed, the text, `</turn>` and a line feed.
 Inside roles and texts a backslash becomes `\\b`, the `#` that begins `###` `\\h`,
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from quillon.llm.common import pick
 
@@ -44,11 +45,11 @@ def unescaped(text: Column, role: bool = False) -> Column:
     return F.replace(out, F.lit("\\b"), F.lit("\\"))
 
 
-def folded(events: DataFrame) -> DataFrame:
-    """conv_id and messages, an array of (place, role, text): the final messages in order."""
+def folded(events: DataFrame, together: bool = False) -> DataFrame:
+    """conv_id and messages, an array of (place, role, text, message_id): the final messages in order. together: a conversation's events are in one partition already."""
     e = pick(events, "conv_id", "seq", "message_id", "kind", "role", "text").fillna("", ["role", "text"])
     # one shuffle: grouping by conversation and message is local once a conversation's rows are together
-    e = e.repartition(F.col("conv_id"))
+    e = e if together else e.repartition(F.col("conv_id"))
     messages = e.groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
     # the text is what came from the last event that set it onwards
     sets = lambda x: x["kind"].isin("message", "edit", "regenerate")
@@ -59,7 +60,7 @@ def folded(events: DataFrame) -> DataFrame:
         "conv_id", F.col("log")[0]["seq"].alias("place"), "message_id", F.when(F.size(roles) > 0, F.element_at(roles, -1)).otherwise(F.lit("")).alias("role"), F.array_join(parts, "").alias("text"),
         F.exists("log", lambda x: x["kind"] == "delete").alias("gone"),
     ).filter("not gone")
-    return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "message_id", "role", "text"))).alias("messages"))
+    return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text", "message_id"))).alias("messages"))
 
 
 def rendered(conversations: DataFrame) -> DataFrame:
@@ -82,18 +83,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """The log of a table of turns: each row is a message; rows of one turn are told apart by role and text."""
+    """The log of a table of turns: each row is a message, numbered within its conversation by turn, role and text."""
     c = pick(conversations, "conv_id", "turn", "role", "text").fillna("", ["role", "text"])
-    copies = c.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return each.select("conv_id", F.col("turn").alias("seq"), F.xxhash64("turn", "role", "text", "copy").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    return c.select("conv_id", F.col("turn").alias("seq"), number.cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = r"\### Assistant: </turn> ok"
     fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    back = read_back(rendered(folded(turn_events(given.unionByName(fixed)))))
+    back = read_back(rendered(folded(turn_events(given.unionByName(fixed)), together=True)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text"), 256).alias("loss_sha256"),
@@ -110,9 +110,9 @@ WITH given AS (
   SELECT *, replace(regexp_replace(replace(text, '\', '\b'), '###', '\hhh', 'g'), '</turn', '\l/turn') AS e FROM given
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + length(text) + 13
     + length(text) - length(replace(text, '\', ''))
     + greatest(0, length(text) - length(replace(text, '###', '##')))

@@ -41,8 +41,11 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (local runs and tests) a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
+    """The folder all executors share, spark.checkpoint.dir; where it isn't set, a temporary one, and that in local mode only."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given or _own_folder()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

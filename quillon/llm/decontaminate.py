@@ -1,16 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a stored table of blocks. A block covers about a MB of whole documents
-and has, for each term, the sorted positions of its postings. Terms that no test
-item uses can't take part in a match and are left out of the store. A test phrase
-is looked up in each block by intersecting offset-adjusted posting lists, the
-rarest term first (by its count over the whole index), so most phrases end at the
-first, empty list. Terms are kept by a 64-bit hash and compared byte for byte when
-the index is built.
+The index is a stored table of blocks, made once and of all words, whatever the test
+items are. A block covers about a MB of whole documents and has, for each of its
+terms, the sorted positions of its postings. A test phrase is looked up in each
+block by intersecting offset-adjusted posting lists, the rarest term first (by its
+count over the whole index), so most phrases end at the first, empty list. Terms
+are told apart by 64-bit hashes.
 
 Phrases are all windows of `window` consecutive words of an item; an item with
-fewer words is one phrase. Test items are taken in blocks of at most ITEM_BYTES;
-only one block is on an executor at a time.
+fewer words is one phrase. An item is near a document if its rarest word occurs
+there with each of its other words within `slop` words of it. Test items are taken
+in blocks of at most about ITEM_BYTES, all of them against the same index; only one
+block is on an executor at a time, and what they find is brought together by a
+number that each document row has in the index, so the size of the benchmark has
+no effect on results.
 
 Defined results: a null or empty text has no words, no hits and isn't
 contaminated; an item without words, or with a null item_id, is left out; items
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import ALNUM, LOWER, Texts, arrow_map, pick, stored, word_hashes, words
 
-WINDOW = 13
+WINDOW, SLOP = 13, 64
 ITEM_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20
-INDEX = "doc_ids array<long>, first array<long>, terms array<long>, ends array<long>, positions binary"
+INDEX = "rows array<long>, doc_ids array<long>, first binary, terms binary, ends binary, positions binary"
 
 
 def _split(column):
@@ -47,85 +50,67 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], window: int):
         column = pa.array([r[1] for r in rows], pa.string())
-        term_of: dict[bytes, int] = {}
+        number: dict[int, int] = {}
+        self.terms: list[bytes] = []
         phrases: dict[tuple[int, ...], set[int]] = {}
-        self.words: dict[int, set[int]] = {}
-        done, hashes = 0, {}
+        words_of: dict[int, set[int]] = {}
+        done = 0
         for data, starts, ends, first, h in _split(column):
             raw = data.tobytes()
             ids = []
-            for a, z, x in zip(starts, ends, h, strict=True):
-                w = raw[a:z]
-                ids.append(term_of.setdefault(w, len(term_of)))
-                if hashes.setdefault(int(x), w) != w:
+            for a, z, x in zip(starts, ends, h.tolist(), strict=True):
+                if x not in number:
+                    number[x] = len(number)
+                    self.terms.append(raw[a:z])
+                elif self.terms[number[x]] != raw[a:z]:
                     raise ValueError("two terms share a hash")
+                ids.append(number[x])
             for k in range(len(first) - 1):
                 of = ids[first[k] : first[k + 1]]
                 item = rows[done + k][0]
                 if of:
-                    self.words.setdefault(item, set()).update(of)
+                    words_of.setdefault(item, set()).update(of)
                 for at in range(max(1, len(of) - window + 1) if of else 0):
                     phrases.setdefault(tuple(of[at : at + window]), set()).add(item)
             done += len(first) - 1
-        self.terms = list(term_of)
-        self.hashes = np.zeros(len(term_of), np.uint64)
-        for x, w in hashes.items():
-            self.hashes[term_of[w]] = x
-        self.phrases = list(phrases.items())
+        self.hashes = np.array(list(number), np.uint64)
+        self.phrases, self.words = list(phrases.items()), list(words_of.items())
+
+    def ranked(self, count: np.ndarray) -> np.ndarray:
+        """The place of each term from rare to common; ties by the word, so it is the same whatever the block of items."""
+        rank = np.zeros(len(count), np.int64)
+        rank[sorted(range(len(count)), key=lambda t: (count[t], self.terms[t]))] = np.arange(len(count))
+        return rank
 
 
-def build_index(documents: DataFrame, items=None) -> DataFrame:
-    """The index as a DataFrame of blocks; with items (a broadcast of Items) only the terms they use."""
+def build_index(documents: DataFrame) -> DataFrame:
+    """The index of (row, doc_id, text) as a DataFrame of blocks."""
 
     def work(batch):
-        ids = batch["doc_id"]
         done = 0
-        if items is not None:
-            wanted = np.sort(items.value.hashes)
-            by_hash = dict(zip(items.value.hashes.tolist(), items.value.terms, strict=True))
-        for data, starts, ends, first, h in _split(batch["text"]):
-            at = np.arange(len(h))
-            if items is not None:
-                k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                at = np.flatnonzero(wanted[k] == h) if len(wanted) else at[:0]
-            order = at[np.argsort(h[at], kind="stable")]
+        for _, _, first, h in ((x[1], x[2], x[3], x[4]) for x in _split(batch["text"])):
+            order = np.argsort(h, kind="stable")
             terms, begin = np.unique(h[order], return_index=True)
-            if items is not None:  # compare the words themselves
-                true = np.array([by_hash[x] for x in terms.tolist()], object)
-                size = np.array([len(x) for x in true], np.int64)
-                of = np.repeat(np.arange(len(terms)), np.diff(np.append(begin, len(order))))
-                same = (ends - starts)[order] == size[of]
-                for n in np.unique(size):
-                    rows = np.flatnonzero(same & (size[of] == n))
-                    table = np.zeros((len(terms), n), np.uint8)
-                    for t in np.flatnonzero(size == n):
-                        table[t] = np.frombuffer(true[t], np.uint8)
-                    for part in np.array_split(rows, max(1, len(rows) // 100_000)):
-                        same[part] &= (data[starts[order[part]][:, None] + np.arange(n)] == table[of[part]]).all(1)
-                if not same.all():
-                    order, of = order[same], of[same]
-                    kept, begin = np.unique(of, return_index=True)
-                    terms = terms[kept]
             n = len(first) - 1
             yield {
-                "doc_ids": [ids.slice(done, n).to_pylist()], "first": [first], "terms": [terms.view(np.int64)], "ends": [np.append(begin[1:], len(order)) if len(terms) else []],
-                "positions": [order.astype("<u4").tobytes()],
+                "rows": [batch["row"].slice(done, n).to_pylist()], "doc_ids": [batch["doc_id"].slice(done, n).to_pylist()], "first": [first.astype("<i8").tobytes()],
+                "terms": [terms.astype("<u8").tobytes()], "ends": [np.append(begin[1:], len(order))[: len(terms)].astype("<u4").tobytes()], "positions": [order.astype("<u4").tobytes()],
             }
             done += n
 
-    return arrow_map(pick(documents, "doc_id", "text"), work, INDEX)
+    numbered = pick(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())  # stored with the block
+    return arrow_map(numbered, work, INDEX)
 
 
 class Postings:
-    """The posting lists of one block."""
+    """The posting lists of some terms in one block."""
 
-    def __init__(self, terms, ends, positions, hashes: np.ndarray):
+    def __init__(self, terms: bytes, ends: bytes, positions: bytes, hashes: np.ndarray):
         self.positions = np.frombuffer(positions, "<u4").astype(np.int64)
-        terms, ends = np.asarray(terms, np.int64).view(np.uint64), np.asarray(ends, np.int64)
+        terms, ends = np.frombuffer(terms, "<u8"), np.concatenate(([0], np.frombuffer(ends, "<u4").astype(np.int64)))
         k = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
         there = terms[k] == hashes if len(terms) else np.zeros(len(hashes), bool)
-        self.end = np.where(there, ends[k] if len(ends) else 0, 0)
-        self.begin = np.where(there & (k > 0), ends[k - 1] if len(ends) else 0, 0)
+        self.begin, self.end = (np.where(there, ends[k], 0), np.where(there, ends[k + 1], 0)) if len(terms) else (k * 0, k * 0)
         self.count = self.end - self.begin
 
     def of(self, term: int) -> np.ndarray:
@@ -143,36 +128,47 @@ class Postings:
             found = found[other[at] == found + k] if len(other) else found[:0]
         return found
 
-    def near(self, terms: set[int], rarity: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term within slop words of it."""
-        order = sorted(terms, key=lambda t: (rarity[t], t))
+    def near(self, terms: set[int], rarity: np.ndarray, slop: int, first: np.ndarray) -> np.ndarray:
+        """Documents (their places in the block) where the rarest term has every other term within slop words of it."""
+        apart = lambda at: at + (slop + 1) * (np.searchsorted(first, at, "right") - 1)  # noqa: E731  documents don't reach into each other
+        order = sorted(terms, key=lambda t: rarity[t])
         found = self.of(order[0])
+        moved = apart(found)
         for t in order[1:]:
             if not len(found):
                 break
-            other = self.of(t)
-            found = found[np.searchsorted(other, found + slop, "right") > np.searchsorted(other, found - slop)]
-        return found
+            other = apart(self.of(t))
+            good = np.searchsorted(other, moved + slop, "right") > np.searchsorted(other, moved - slop)
+            found, moved = found[good], moved[good]
+        return np.unique(np.searchsorted(first, found, "right") - 1)
 
 
-def matches(index: DataFrame, items, slop: int | None = None) -> DataFrame:
-    """For each document: n_words, hit spans (in words) and items with an occurring phrase; with slop also items all of whose words are near each other."""
+def matches(index: DataFrame, items, slop: int = SLOP) -> DataFrame:
+    """For each document: its row number, n_words, hit spans (in words), items with an occurring phrase and items that are near."""
     spark = index.sparkSession
-    counts = index.select(F.posexplode("terms").alias("k", "term"), "ends").select("term", (F.col("ends")[F.col("k")] - F.when(F.col("k") > 0, F.col("ends")[F.greatest(F.col("k") - 1, F.lit(0))]).otherwise(0)).alias("n"))
-    total = {r[0]: r[1] for r in counts.groupBy("term").agg(F.sum("n")).collect()}  # terms of the items only
-    count = [total.get(int(x), 0) for x in items.value.hashes.view(np.int64)]
-    rank = np.zeros(len(count), np.int64)
-    rank[sorted(range(len(count)), key=lambda t: (count[t], items.value.terms[t]))] = np.arange(len(count))  # the same order of terms whatever the block
-    rarity = spark.sparkContext.broadcast(rank)
+
+    def counted(batch):
+        total = np.zeros(len(items.value.hashes), np.int64)
+        for terms, ends in zip(batch["terms"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+            total += Postings(terms, ends, b"", items.value.hashes).count
+        at = np.flatnonzero(total)
+        yield {"term": at, "n": total[at]}
+
+    count = np.zeros(len(items.value.hashes), np.int64)
+    for r in arrow_map(index.select("terms", "ends"), counted, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # terms of the items only
+        count[r[0]] = r[1]
+    rarity = spark.sparkContext.broadcast(items.value.ranked(count))
 
     def work(batch):
         rare, test = rarity.value, items.value
-        size = max((len(p) for p, _ in test.phrases), default=1)
+        table, size = [], max((len(p) for p, _ in test.phrases), default=1)
         table = np.array([p + (p[0],) * (size - len(p)) for p, _ in test.phrases], np.int64).reshape(-1, size)
+        item_terms = np.concatenate([np.fromiter(t, np.int64) for _, t in test.words]) if test.words else np.zeros(0, np.int64)
+        item_at = np.cumsum([0, *(len(t) for _, t in test.words)])[:-1]
         for k in range(batch.num_rows):
-            block = {n: batch[n][k].as_py() for n in ("doc_ids", "first", "terms", "ends", "positions")}
+            block = {n: batch[n][k].as_py() for n in batch.schema.names}
             post = Postings(block["terms"], block["ends"], block["positions"], test.hashes)
-            first, n = np.array(block["first"]), len(block["doc_ids"])
+            first, n = np.frombuffer(block["first"], "<i8"), len(block["rows"])
             spans: list[list] = [[] for _ in range(n)]
             found: list[set] = [set() for _ in range(n)]
             close: list[set] = [set() for _ in range(n)]
@@ -184,40 +180,36 @@ def matches(index: DataFrame, items, slop: int | None = None) -> DataFrame:
                     if a >= 0 and a + len(terms) <= first[d + 1]:
                         spans[d].append({"start": a - first[d], "end": a - first[d] + len(terms)})
                         found[d] |= of
-            if slop is not None:
-                for item, terms in test.words.items():
-                    if all(post.count[t] for t in terms):
-                        for d in set((np.searchsorted(first, post.near(terms, rare, slop), "right") - 1).tolist()):
-                            close[d].add(item)
-            yield {"doc_id": block["doc_ids"], "n_words": np.diff(first), "spans": [sorted(x, key=lambda s: (s["start"], s["end"])) for x in spans], "items": [sorted(x) for x in found], "near_items": [sorted(x) for x in close]}
+            for w in np.flatnonzero(np.minimum.reduceat(post.count[item_terms], item_at) > 0) if len(item_at) else ():
+                item, terms = test.words[w]
+                for d in post.near(terms, rare, slop, first).tolist():
+                    close[d].add(item)
+            yield {"row": block["rows"], "doc_id": block["doc_ids"], "n_words": np.diff(first), "spans": [sorted(x, key=lambda s: (s["start"], s["end"])) for x in spans], "items": [sorted(x) for x in found], "near_items": [sorted(x) for x in close]}
 
-    return arrow_map(index, work, "doc_id long, n_words long, spans array<struct<start long, end long>>, items array<long>, near_items array<long>")
+    return arrow_map(index, work, "row long, doc_id long, n_words long, spans array<struct<start long, end long>>, items array<long>, near_items array<long>")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """matches() of all test items. With several blocks of items, rows are brought together by a number of their own, so they are those that one block gives."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """matches() of all test items for each document, without the row number."""
     spark = documents.sparkSession
     test = pick(benchmark, "item_id", "text").dropna()
     size = test.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
-    if blocks > 1:
-        numbered = stored(pick(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
-        documents = numbered.select(F.col("row").alias("doc_id"), "text")
+    index = stored(build_index(documents), "postings")
     out = None
     for k in range(blocks):
         part = test.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else test
         items = spark.sparkContext.broadcast(Items([tuple(r) for r in part.orderBy("item_id", "text").collect()], window))  # about ITEM_BYTES
-        found = matches(stored(build_index(documents, items), "postings"), items, slop)
+        found = matches(index, items, slop)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
         flat = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in ("spans", "items", "near_items")]
-        out = out.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), *flat)
-        out = numbered.select("row", "doc_id").join(out.hint("merge"), "row").drop("row")
-    return out
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *flat)
+    return out.drop("row")
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """The contract's columns from decontaminate()'s."""
+    """The contract's columns from decontaminate()'s, and the number of items that are near."""
 
     def work(batch):
         n_hit = []
@@ -230,10 +222,10 @@ def judged(found: DataFrame) -> DataFrame:
         n_words, n_hit = batch["n_words"].to_numpy(), np.array(n_hit, np.int64)
         yield {
             "doc_id": batch["doc_id"], "n_words": n_words, "n_hit": n_hit, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-            "contaminated": (n_hit > 0) & (20 * n_hit >= n_words),
+            "contaminated": (n_hit > 0) & (20 * n_hit >= n_words), "n_near_items": [len(x) for x in batch["near_items"].to_pylist()],
         }
 
-    return arrow_map(found, work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_map(found, work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 Every document becomes its token ids and a closing id 0; only documents longer
 than a sequence are cut. The plan needs just the histogram of piece lengths, at
 most `size` entries however many documents there are. Planning takes lengths
-from the longest down: a gap is filled exactly by one, two or three other lengths
-where sums of available lengths allow, as many times as counts allow; what is
-left is placed by best fit, decreasing. Each step uses up a length or a kind of
-gap, so there are few steps. Pieces are then numbered within their length in
+from the longest down: a gap is filled exactly by one, two or three other lengths,
+as many times as counts allow; what is left is placed by best fit, decreasing.
+Single lengths and pairs are indexed by their sum (two million pairs at most);
+triples are a single beside an indexed pair, since a table of their own would have
+over a billion. Counts only fall, so a combination once passed over for want of
+pieces is never looked at again. Each step uses up a length or a kind of gap, so
+there are few steps. Pieces are then numbered within their length in
 salted groups (no group grows with the commonness of a length) and look their
 place up in the plan.
 
@@ -31,6 +34,9 @@ SIZE = 2048
 CACHE_UNITS = 200_000
 ROWS_PER_GROUP, MOST_GROUPS = 1000, 4096
 
+#: What a tokenizer must encode unit by unit as it does whole, for parts() to be used.
+PROBE = "The quick brown-fox, 12345 it's o'clock!? na\u00efve \u00fcber stra\u00dfe caf\u00e9s \u00c0\u00d8 x\u00d7y a\u00f7b 3.14 e-mail@host.org #tag $9.99 (a)[b]{c} \u6f22\u5b57 \u0440\u0443\u0441\n\tnew  line don't \u201cquoted\u201d ... a1b2 \u00b5m 50% <b>&amp; \u0130 \u017f"
+
 _LETTER, _DIGIT, _OTHER, _SPACE = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[*b"abcdefghijklmnopqrstuvwxyz", 0xC3, *range(0x80, 0xC0)]] = _LETTER
@@ -83,6 +89,15 @@ class Encoder:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
+        # whether the tokenizer treats units as parts() takes them; if not, texts are encoded whole
+        self.by_units = True
+        t = Texts(pa.array([PROBE, PROBE.upper(), PROBE.title()]))
+        self.by_units = all(np.array_equal(a, b) for a, b in zip(self.encode(t.data, t.offsets), self._whole(t.data, t.offsets), strict=True))
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = [self._one(raw[a:z].decode()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
 
     def _one(self, unit: str) -> bytes:
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
@@ -108,6 +123,8 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and where each row's begin (and one more)."""
+        if not self.by_units:
+            return self._whole(data, offsets)
         low, begin, end, first, plain = parts(data, offsets)
         if not len(begin):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
@@ -169,11 +186,28 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
             done.append((lengths, int(n)))
         return n > 0
 
+    # the index of pair sums: pairs of a sum s are first[at[s] : at[s + 1]] and s less these, the longest first length first
+    lengths = np.flatnonzero(left[:size])
+    i, j = np.tril_indices(len(lengths))
+    sums = lengths[i] + lengths[j]
+    i, sums = i[sums < size], sums[sums < size]
+    first = lengths[i[np.lexsort((-i, sums))]]
+    at = np.concatenate(([0], np.cumsum(np.bincount(sums, minlength=size))))
+    passed = at[:-1].copy()
+
     def pair(total: int, apart: np.ndarray) -> tuple[int, int] | None:
         """The pair of available lengths of this sum with the longest first length."""
-        first = np.arange((total + 1) // 2, total)
-        good = (apart[first] > 0) & (apart[total - first] > (first * 2 == total))
-        return (int(first[at]), total - int(first[at])) if len(at := np.flatnonzero(good)[-1:]) and (at := at[0]) is not None else None
+        k = passed[total] if total > 0 else 0
+        while total > 0 and k < at[total + 1]:
+            x = int(first[k])
+            y = total - x
+            if apart[x] > 0 and apart[y] > (x == y):
+                return x, y
+            gone = left[x] < 1 or left[y] < 1 + (x == y)
+            if gone and k == passed[total]:
+                passed[total] += 1
+            k += 1
+        return None
 
     if left[size]:
         take(size)

@@ -1,14 +1,14 @@
 """Quality rules: base rules and a calibrated hashed n-gram classifier.
 
-Features of a text are hashed word unigrams and bigrams and byte 4-grams, as
+Features of a text are hashed word unigrams and bigrams and character 4-grams, as
 frequencies within the text. A logistic regression is trained on labelled rows
 (quality 1 or 0), then a Platt scale is fitted on a held-out fifth, so scores are
 probabilities. Scoring is one pass over Arrow batches: hashes, a table look-up
 and a sum by document, against a fixed threshold.
 
 Defined results: a null or empty text has no words and fails the base rules.
-Labels that repeat count as often as they occur; labels with a null doc_id or
-quality, or of unknown documents, are left out. Without rows of both classes
+Labels and documents that repeat are trained on once; labels with a null doc_id or
+quality, or of unknown or empty documents, are left out. Without rows of both classes
 there is no model and base rules alone decide. Repeated rows are scored each.
 Extra columns are ignored.
 """
@@ -25,9 +25,8 @@ from quillon.llm.common import NOT_SPACE, Texts, U, mixed, pick, released, word_
 
 BITS = 16
 WORDS, PAIRS, GRAMS = 0, 1 << BITS, 2 << BITS  # three tables, one after the other
-#: Labelled rows used in training at most (the smallest hashes of doc_id); with MAX_TRAIN_CHARS it bounds the training task.
+#: Labelled rows used in training at most, those with the smallest hashes of doc_id; it bounds the training task.
 MAX_TRAIN_ROWS = 3000
-MAX_TRAIN_CHARS = 20_000  # longer labelled texts aren't trained on; scoring has no such limit
 THRESHOLD = 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[*b"#*$%&|<>"]] = True
@@ -41,12 +40,15 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     yield row, (h >> shift).astype(np.int32) + WORDS
     same = row[1:] == row[:-1]
     yield row[1:][same], (mixed(h[:-1] * U(3) + h[1:])[same] >> shift).astype(np.int32) + PAIRS
-    if len(data) > 3:
-        d = data.astype(np.uint32)
-        grams = ((d[:-3] | d[1:-2] << 8 | d[2:-1] << 16 | d[3:] << 24) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        byte_row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        same = byte_row[3:] == byte_row[:-3]
-        yield byte_row[3:][same], grams[same].astype(np.int32) + GRAMS
+    c = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)  # code points
+    if len(c) > 3:
+        k = np.uint32(2654435761)
+        grams = ((c[:-3] * k + c[1:-2]) * k + c[2:-1]) * k + c[3:]
+        grams = ((grams ^ grams >> np.uint32(15)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+        lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        point_row = np.repeat(np.arange(len(offsets) - 1), np.diff(lead[offsets]))
+        same = point_row[3:] == point_row[:-3]
+        yield point_row[3:][same], grams[same].astype(np.int32) + GRAMS
 
 
 def _scores(weights: np.ndarray, data, starts, ends, first, offsets) -> np.ndarray:
@@ -61,7 +63,7 @@ def _scores(weights: np.ndarray, data, starts, ends, first, offsets) -> np.ndarr
 
 def _fit(batch: pa.RecordBatch, epochs: int = 300, rate: float = 0.05) -> np.ndarray | None:
     """Weights, intercept, then Platt's two numbers; full-batch Adam over the sample, so the order of rows has no effect."""
-    order = np.argsort(batch["doc_id"].to_numpy(), kind="stable")
+    order = np.lexsort((batch["hash"].to_numpy(), batch["quality"].to_numpy(), batch["doc_id"].to_numpy()))
     batch = batch.take(pa.array(order))
     y = batch["quality"].to_numpy().astype(np.float64)
     held = mixed(batch["doc_id"].to_numpy().astype(np.uint64)) % U(5) == 0
@@ -117,11 +119,14 @@ def _fit(batch: pa.RecordBatch, epochs: int = 300, rate: float = 0.05) -> np.nda
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> np.ndarray | None:
-    """Fit on at most max_rows labelled rows, in one task on an executor; a model has a fixed size (1.5 MB)."""
-    chosen = pick(labels, "doc_id", "quality").dropna().filter(F.col("quality").isin(0, 1))
-    texts = pick(documents, "doc_id", "text").filter(F.length("text").between(1, MAX_TRAIN_CHARS))
-    sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows).join(texts, "doc_id").withColumn("quality", F.col("quality").cast("long"))
-    sample = sample.select("doc_id", "quality", "text").limit(max_rows)
+    """Fit on at most max_rows labelled rows, in one task on an executor; a model has a fixed size (1.5 MB).
+
+    The sample is drawn from what labels and documents share, before any text is moved.
+    """
+    chosen = pick(labels, "doc_id", "quality").dropna().filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("long").alias("quality")).distinct()
+    texts = pick(documents, "doc_id", "text").filter("text != ''").withColumn("hash", F.xxhash64("text"))
+    sample = chosen.join(texts.select("doc_id", "hash").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "hash").limit(max_rows)
+    sample = texts.join(F.broadcast(sample), ["doc_id", "hash"]).dropDuplicates(["doc_id", "quality", "hash"]).select("doc_id", "quality", "hash", "text")  # max_rows rows
 
     def fit(batches):
         table = pa.Table.from_batches(list(batches))

@@ -41,6 +41,7 @@ class UnigramCounter:
         self.unk = min(s for _, s in vocabulary) - unk_penalty
         self.byte_fallback, self.dummy_prefix = byte_fallback, dummy_prefix
         names = {p for p, _ in vocabulary}
+        self.longest = max(map(len, names))
         parted = (SPACE in names or byte_fallback) and all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) and ("\n" not in p or p == "\n") for p in names)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if parted else r"(?s).+")
         if not byte_fallback:
@@ -48,25 +49,32 @@ class UnigramCounter:
         self.known: dict[str, int] = {}
 
     def part(self, text: str) -> int:
-        n = len(text)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for last, match in self.automaton.iter(text):
-            ending[last + 1].append(match)
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            top, alone = None, False
-            for length, score in sorted(ending[end], reverse=True):
+        """Pieces of the best split. What is kept is as long as the longest piece, however long the text."""
+        size = self.longest + 1
+        best, count, unknown = [0.0] * size, [0] * size, [False] * size
+        found = self.automaton.iter(text)
+        last, match = next(found, (-1, None))
+        for end in range(1, len(text) + 1):
+            here, top, alone = end % size, None, False
+            ending = []
+            while last == end - 1:
+                ending.append(match)
+                last, match = next(found, (-1, None))
+            n = 0
+            for length, score in sorted(ending, reverse=True) if len(ending) > 1 else ending:
                 alone |= length == 1
-                s = best[end - length] + score
+                s = best[(end - length) % size] + score
                 if top is None or s > top:
-                    top, count[end] = s, count[end - length] + 1
+                    top, n = s, count[(end - length) % size] + 1
+            before = (end - 1) % size
+            is_unknown = False
             if not alone:
-                s = best[end - 1] + self.unk
+                s = best[before] + self.unk
                 if top is None or s > top:
-                    top, unknown[end] = s, True
-                    count[end] = count[end - 1] + (len(text[end - 1].encode()) if self.byte_fallback else not unknown[end - 1])
-            best[end] = top
-        return count[n]
+                    top, is_unknown = s, True
+                    n = count[before] + (len(text[end - 1].encode()) if self.byte_fallback else not unknown[before])
+            best[here], count[here], unknown[here] = top, n, is_unknown
+        return count[len(text) % size]
 
     def count(self, text: str) -> int:
         if not text:
@@ -75,7 +83,8 @@ class UnigramCounter:
         if self.dummy_prefix:
             text = SPACE + text
         total, known = 0, self.known
-        for p in self.parts.findall(text):
+        for m in self.parts.finditer(text):
+            p = m[0]
             c = known.get(p)
             if c is None:
                 c = self.part(p)

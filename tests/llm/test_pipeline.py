@@ -52,6 +52,16 @@ def test_chat_matches_sql(spark):
     assert sorted(map(tuple, got[list(want.columns)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
+def test_chat_matches_sql_on_ties(spark, tmp_path):
+    rows = [(c, t, role, text) for c in (1, 2, None) for t in (0, 1, None) for role in ("user", "assistant", None, "z") for text in ("b", "a", None, "###", "a", "</turn>\\h")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = chat.op5_chat_formatting(spark, str(tmp_path)).toPandas(), c.sql(SQL["op5_chat_formatting"]).df()
+    rows = lambda d: sorted(map(str, d[list(want.columns)].astype({"conv_id": "Int64"}).values.tolist()))
+    assert rows(got) == rows(want)
+
+
 def test_run_matches_brute_force(spark):
     """run() against plain Python; the verdicts of the fitted model and the pseudonyms are taken as given."""
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
