@@ -30,7 +30,7 @@ def test_stages_take_effect(spark):
         before = {r.doc_id: r for r in docs.collect()}
         assert name == "PII" or all(before[r.doc_id] == r for r in rows)
         docs = spark.createDataFrame(rows, docs.schema)
-    assert {r.doc_id: r.text for r in pii.restore(docs, pii.KEY).collect()} == {r.doc_id: before[r.doc_id].text for r in rows}
+    assert {r.doc_id: r.text for r in pii.restore(docs, pii.key_of(spark)).collect()} == {r.doc_id: before[r.doc_id].text for r in rows}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).toPandas()
     assert set(packed.doc_id) == {r.doc_id for r in rows}
     key = ["doc_id", "piece", "length", "ids_crc32"]
@@ -97,7 +97,7 @@ def test_run_matches_brute_force(spark):
             clean.add(i)
     assert len(texts) > len(alone) > len(clean) > 0
     given = docs.filter(docs.doc_id.isin(list(clean)))
-    new = {r.doc_id: r.text for r in pii.pseudonymized(given, pii.KEY).collect()}
+    new = {r.doc_id: r.text for r in pii.pseudonymized(given, pii.key_of(spark)).collect()}
     t, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
     for i, x in new.items():
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
