@@ -2,6 +2,11 @@
 
 Each stage takes what the one before kept, whole, and its decisions take effect: documents leave, texts change, and the
 last stage packs what is left. Between stages documents are written as Parquet in the shared folder and read again.
+
+Defined results: a null, empty or very short text fails the quality rules and goes; a row with a null doc_id is judged by
+the quality rules and by nothing that goes by id, so it stays if they keep it; rows that repeat a doc_id go or stay
+together in the stages that go by id; an empty table gives no rows; extra columns, whatever their names, pass through
+up to the last stage. The key of the pseudonyms comes from the session (see quillon.llm.pii).
 """
 
 from __future__ import annotations
@@ -10,11 +15,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored, without
+from quillon.llm.common import dropped, stored, without
 from quillon.llm.decontaminate import decontaminate, judged
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.packing import pack
-from quillon.llm.pii import KEY, pseudonymized
+from quillon.llm.pii import key_of, pseudonymized
 from quillon.llm.quality import quality
 
 
@@ -35,7 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values become pseudonyms; n_chars follows the text."""
-    done = pseudonymized(docs, KEY)
+    done = pseudonymized(docs, key_of(spark))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
@@ -53,8 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage{k}")
+            if before is not None:  # what the stage read has been written again
+                dropped(before)
+            before = docs
     return docs
