@@ -48,13 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return given or _own_folder()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet, with a writer's options, in the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs the tasks that ran on it and no earlier stage.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

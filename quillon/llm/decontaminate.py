@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a stored table of blocks, made once and of all words, whatever the test
-items are. A block covers about a MB of whole documents and has, for each of its
+items are. A block covers about half a MB of whole documents and has, for each of its
 terms, the sorted positions of its postings. A test phrase is looked up in each
 block by intersecting offset-adjusted posting lists, the rarest term first (by its
 count over the whole index), so most phrases end at the first, empty list. Terms
@@ -34,7 +34,7 @@ from quillon.llm.common import ALNUM, LOWER, Texts, arrow_map, pick, stored, wor
 
 WINDOW, SLOP = 13, 64
 ITEM_BYTES = 16 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 INDEX = "rows array<long>, doc_ids array<long>, first binary, terms binary, ends binary, positions binary"
 
 
@@ -195,7 +195,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     test = pick(benchmark, "item_id", "text").dropna()
     size = test.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
-    index = stored(build_index(documents), "postings")
+    index = stored(build_index(documents), "postings", **{"parquet.enable.dictionary": "false"})  # no two blocks are alike
     out = None
     for k in range(blocks):
         part = test.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else test

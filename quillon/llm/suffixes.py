@@ -53,7 +53,7 @@ def prefixes(group: np.ndarray, at: np.ndarray, right: np.ndarray, data: np.ndar
     lcp = np.full(n, w)
     lcp[:1] = -1
     lcp[1:][group[1:] != group[:-1]] = -1
-    open_ = rows  # places whose interval has two rows or more
+    open_ = np.arange(n)  # places whose interval has two rows or more
     for level in range(w):
         parted = lcp[open_] < w
         alone = parted & np.append(parted[1:], True)

@@ -198,6 +198,53 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert suffixes.suffix_dedup(empty).count() == 0
 
 
+def test_interval_expansion():
+    """Common prefixes and repeated windows of groups of two texts and more, against comparing them."""
+    r = np.random.default_rng(4)
+    for trial in range(60):
+        w, groups = 12, int(r.integers(1, 6))
+        group = np.sort(np.concatenate((np.repeat(np.arange(groups), 2), r.integers(0, groups, trial % 9))))
+        t = r.integers(0, 6, len(group))
+        m = np.minimum(r.integers(0, 6, len(group)), t)
+        data = r.integers(0, 2, int((m + w).sum())).astype(np.uint8)
+        at = np.concatenate(([0], np.cumsum(m + w)))[:-1]
+        n = r.integers(1, 3, len(group)) if trial % 2 else np.ones(len(group), np.int64)
+        right = [data[a + k : a + x + w].tobytes() for a, k, x in zip(at, t, m, strict=True)]
+        rows, lcp = suffixes.prefixes(group, at + t, m + w - t, data, w)
+        assert sorted(rows) == list(range(len(group)))
+        for k in range(1, len(rows)):
+            a, b = rows[k - 1], rows[k]
+            same = next((x for x, (p, q) in enumerate(zip(right[a], right[b], strict=False)) if p != q), min(len(right[a]), len(right[b])))
+            assert lcp[k] == (min(same, w) if group[a] == group[b] else -1)
+        mark = suffixes.expand(group, n, t, m, data, w)
+        windows = {(k, x): (group[k], x, data[at[k] + t[k] - x : at[k] + t[k] - x + w].tobytes()) for k in range(len(group)) for x in range(t[k] - m[k], t[k] + 1)}
+        seen = Counter()
+        for (k, _), v in windows.items():
+            seen[v] += n[k]
+        assert {kx for kx, v in windows.items() if seen[v] > 1} == set(zip(*map(np.ndarray.tolist, np.nonzero(mark)), strict=True))
+
+
+def test_suffix_trees():
+    """Deep nodes against all pairs of suffixes."""
+    r = np.random.default_rng(5)
+    for trial in range(60):
+        size = r.integers(1, 12, 1 + trial % 5)
+        values = r.integers(0, 2, size.sum()).astype(np.uint64)
+        end = np.repeat(np.cumsum(size), size)
+        text = [values[k : end[k]].tolist() for k in range(len(values))]
+        order, common = substrings.leaves(values, end)
+        assert [text[k] for k in order] == sorted(text)
+        assert all(common[k] == next((x for x, (p, q) in enumerate(zip(text[order[k - 1]], text[order[k]], strict=False)) if p != q), min(map(len, (text[order[k - 1]], text[order[k]])))) for k in range(1, len(order)))
+        got = {frozenset(order[a:b].tolist()): d for a, b, d in zip(*substrings.deep_nodes(common, 3), strict=True)}
+        want = defaultdict(set)
+        for k, x in enumerate(text):
+            if len(x) >= 3:
+                want[tuple(x[:3])].add(k)
+        assert set(got) == {frozenset(x) for x in want.values() if len(x) > 1}
+        for of, depth in got.items():
+            assert len({tuple(text[k][:depth]) for k in of}) == 1 and (len({tuple(text[k][: depth + 1]) for k in of}) > 1 or min(len(text[k]) for k in of) == depth)
+
+
 def test_substring_dedup(docs, empty, monkeypatch):
     low = -1
     split = [(low if i is None else i, i, (t or "").encode().split()) for i, t in ROWS]
