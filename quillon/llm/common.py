@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 2000
 
 #: Bytes of `[^\x20\x09-\x0D]`.
 NOT_SPACE = np.ones(256, bool)
@@ -85,11 +86,10 @@ class Texts:
             column = column.combine_chunks()
         if column.null_count:
             column = column.fill_null("")
-        binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
-        column = column.cast(pa.large_binary() if binary else pa.large_string())
         n = len(column)
-        _, at, data = column.buffers()
-        at = np.frombuffer(at, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+        _, at, data = column.buffers()  # seen as they are, not copied
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        at = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         self.offsets = at - at[0]
         self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and n else np.zeros(0, np.uint8)
 
@@ -159,6 +159,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return Rolling(BYTE_VALUES[data]).hashes(starts, ends)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of the session get BATCH_ROWS rows unless it says otherwise: at Spark's 10,000, a batch of long texts takes a GB."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """df.mapInArrow where work turns a batch into dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -172,7 +179,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], s
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name].cast(f.type) for f in made], schema=made)
         released()
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def released() -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillon.llm.common import NOT_SPACE, Texts, U, mixed, pick, released, word_hashes, words
+from quillon.llm.common import NOT_SPACE, Texts, U, in_small_batches, mixed, pick, released, word_hashes, words
 
 BITS = 16
 WORDS, PAIRS, GRAMS = 0, 1 << BITS, 2 << BITS  # three tables, one after the other
@@ -79,8 +79,8 @@ def _fit(batch: pa.RecordBatch, epochs: int = 300, rate: float = 0.05) -> np.nda
             key, count = np.unique(row.astype(np.int64) * size + feature, return_counts=True)
             r = key // size
             rows.append((r + i).astype(np.int32)), cols.append((key % size).astype(np.int32))
-            values.append(count / np.maximum(np.bincount(row), 1)[r])
-    rows, cols, values = map(np.concatenate, (rows, cols, values))
+            values.append((count / np.maximum(np.bincount(row), 1)[r]).astype(np.float32))
+    rows, cols, values = (np.concatenate(x) for x in (rows, cols, values))
     used = np.flatnonzero(np.bincount(cols, minlength=size))
     place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used))
@@ -94,7 +94,9 @@ def _fit(batch: pa.RecordBatch, epochs: int = 300, rate: float = 0.05) -> np.nda
         return sum((np.bincount(cols[b], g[rows[b]] * scaled[b], len(used)) for b in blocks), np.zeros(len(used)))
 
     spread = np.sqrt(np.maximum(np.bincount(cols, values**2) / n, 1e-12))  # rare features need larger weights
-    scaled = values / spread[cols] * 0.02
+    scaled = values  # in place
+    for b in blocks:
+        scaled[b] = values[b] / spread[cols[b]] * 0.02
     balance = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     w, m, v = np.zeros((3, len(used) + 1))
     for step in range(1, epochs + 1):
@@ -210,7 +212,7 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOL
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
         released()
 
-    return documents.mapInArrow(run, schema).toDF(*names, *made)
+    return in_small_batches(documents).mapInArrow(run, schema).toDF(*names, *made)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
