@@ -2,8 +2,8 @@
 
 Text columns reach Python as Arrow batches. `Texts` views a column as one UTF-8
 buffer with offsets, so splitting into words and hashing are numpy passes over
-bytes rather than Python loops over rows. Batches are worked on in chunks of a
-few MB, which bounds a task's memory whatever the batch holds; a chunk always
+bytes rather than Python loops over rows. Batches are worked on in chunks of half
+a MB, which bounds a task's memory whatever the batch holds; a chunk always
 holds whole documents.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
-BATCH_ROWS = 2000
+CHUNK_BYTES = 1 << 19
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 #: Bytes of `[^\x20\x09-\x0D]`.
 NOT_SPACE = np.ones(256, bool)
@@ -160,9 +160,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; Arrow batches of the session get BATCH_ROWS rows unless it says otherwise: at Spark's 10,000, a batch of long texts takes a GB."""
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """df; Arrow batches of the session get the sizes of BATCHES unless it says otherwise: at Spark's own, a batch of long texts takes a GB."""
+    for name, size in BATCHES.items():
+        if df.sparkSession.conf.get(name, None) is None:
+            df.sparkSession.conf.set(name, size)
     return df
 
 

@@ -45,6 +45,11 @@ def _split(column):
         yield data, starts, ends, first, word_hashes(data, starts, ends)
 
 
+def _flat(sets) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all sets, one set after the other, and where each begins (and one more)."""
+    return np.array([x for s in sets for x in sorted(s)], np.int64), np.cumsum([0, *map(len, sets)])
+
+
 class Items:
     """The phrases of a block of test items, over numbered terms."""
 
@@ -74,7 +79,13 @@ class Items:
                     phrases.setdefault(tuple(of[at : at + window]), set()).add(item)
             done += len(first) - 1
         self.hashes = np.array(list(number), np.uint64)
-        self.phrases, self.words = list(phrases.items()), list(words_of.items())
+        # phrases as rows of term numbers, short ones filled up with their first term, and the items of each; items and their terms
+        self.size = np.array([len(p) for p in phrases], np.int32)
+        most = int(self.size.max(initial=1))
+        self.table = np.array([p + (p[0],) * (most - len(p)) for p in phrases], np.int32).reshape(-1, most)
+        self.of, self.of_at = _flat(phrases.values())
+        self.items = np.array(list(words_of), np.int64)
+        self.item_terms, self.item_at = _flat(words_of.values())
 
     def ranked(self, count: np.ndarray) -> np.ndarray:
         """The place of each term from rare to common; ties by the word, so it is the same whatever the block of items."""
@@ -128,7 +139,7 @@ class Postings:
             found = found[other[at] == found + k] if len(other) else found[:0]
         return found
 
-    def near(self, terms: set[int], rarity: np.ndarray, slop: int, first: np.ndarray) -> np.ndarray:
+    def near(self, terms: list[int], rarity: np.ndarray, slop: int, first: np.ndarray) -> np.ndarray:
         """Documents (their places in the block) where the rarest term has every other term within slop words of it."""
         apart = lambda at: at + (slop + 1) * (np.searchsorted(first, at, "right") - 1)  # noqa: E731  documents don't reach into each other
         order = sorted(terms, key=lambda t: rarity[t])
@@ -161,10 +172,6 @@ def matches(index: DataFrame, items, slop: int = SLOP) -> DataFrame:
 
     def work(batch):
         rare, test = rarity.value, items.value
-        table, size = [], max((len(p) for p, _ in test.phrases), default=1)
-        table = np.array([p + (p[0],) * (size - len(p)) for p, _ in test.phrases], np.int64).reshape(-1, size)
-        item_terms = np.concatenate([np.fromiter(t, np.int64) for _, t in test.words]) if test.words else np.zeros(0, np.int64)
-        item_at = np.cumsum([0, *(len(t) for _, t in test.words)])[:-1]
         for k in range(batch.num_rows):
             block = {n: batch[n][k].as_py() for n in batch.schema.names}
             post = Postings(block["terms"], block["ends"], block["positions"], test.hashes)
@@ -172,18 +179,17 @@ def matches(index: DataFrame, items, slop: int = SLOP) -> DataFrame:
             spans: list[list] = [[] for _ in range(n)]
             found: list[set] = [set() for _ in range(n)]
             close: list[set] = [set() for _ in range(n)]
-            for p in np.flatnonzero((post.count[table] > 0).all(1)) if len(table) else ():
-                terms, of = test.phrases[p]
+            for p in np.flatnonzero((post.count[test.table] > 0).all(1)) if len(test.table) else ():
+                terms, of = tuple(test.table[p][: test.size[p]].tolist()), test.of[test.of_at[p] : test.of_at[p + 1]].tolist()
                 at = post.phrase(terms, rare)
                 doc = np.searchsorted(first, at, "right") - 1
                 for d, a in zip(doc.tolist(), at.tolist(), strict=True):
                     if a >= 0 and a + len(terms) <= first[d + 1]:
                         spans[d].append({"start": a - first[d], "end": a - first[d] + len(terms)})
-                        found[d] |= of
-            for w in np.flatnonzero(np.minimum.reduceat(post.count[item_terms], item_at) > 0) if len(item_at) else ():
-                item, terms = test.words[w]
-                for d in post.near(terms, rare, slop, first).tolist():
-                    close[d].add(item)
+                        found[d].update(of)
+            for w in np.flatnonzero(np.minimum.reduceat(post.count[test.item_terms], test.item_at[:-1]) > 0) if len(test.items) else ():
+                for d in post.near(test.item_terms[test.item_at[w] : test.item_at[w + 1]].tolist(), rare, slop, first).tolist():
+                    close[d].add(int(test.items[w]))
             yield {"row": block["rows"], "doc_id": block["doc_ids"], "n_words": np.diff(first), "spans": [sorted(x, key=lambda s: (s["start"], s["end"])) for x in spans], "items": [sorted(x) for x in found], "near_items": [sorted(x) for x in close]}
 
     return arrow_map(index, work, "row long, doc_id long, n_words long, spans array<struct<start long, end long>>, items array<long>, near_items array<long>")

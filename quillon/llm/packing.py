@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, Texts, arrow_map, pick, stored, word_hashes, words
 
 SIZE = 2048
-CACHE_UNITS = 100_000
+CACHE_UNITS = 50_000
 ROWS_PER_GROUP, MOST_GROUPS = 1000, 4096
 
 #: What a tokenizer must encode unit by unit as it does whole, for parts() to be used.
