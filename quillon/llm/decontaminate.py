@@ -201,7 +201,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     test = pick(benchmark, "item_id", "text").dropna()
     size = test.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
-    index = stored(build_index(documents), "postings", **{"parquet.enable.dictionary": "false"})  # no two blocks are alike
+    # no two blocks are alike, and a reader holds a row group of them at a time
+    index = stored(build_index(documents), "postings", **{"parquet.enable.dictionary": "false", "parquet.block.size": str(4 << 20)})
     out = None
     for k in range(blocks):
         part = test.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else test
