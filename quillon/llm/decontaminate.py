@@ -23,8 +23,6 @@ items no hits. Repeated documents are judged each. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -216,23 +214,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """The contract's columns from decontaminate()'s, and the number of items that are near."""
-
-    def work(batch):
-        n_hit = []
-        for n, spans in zip(batch["n_words"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            hit = np.zeros(n if spans else 0, bool)
-            for s in spans:
-                hit[s["start"] : s["end"]] = True
-            n_hit.append(int(hit.sum()))
-        items = [sorted(map(str, x)) for x in batch["items"].to_pylist()]
-        n_words, n_hit = batch["n_words"].to_numpy(), np.array(n_hit, np.int64)
-        yield {
-            "doc_id": batch["doc_id"], "n_words": n_words, "n_hit": n_hit, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-            "contaminated": (n_hit > 0) & (20 * n_hit >= n_words), "n_near_items": [len(x) for x in batch["near_items"].to_pylist()],
-        }
-
-    return arrow_map(found, work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    """The contract's columns from decontaminate()'s, and the number of items that are near. JVM functions alone, so a task has one Python worker."""
+    # spans come sorted: a span adds what of it lies beyond the ends of those before
+    nothing = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("upto"))
+    grown = lambda m, s: F.struct((m["hit"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], m["upto"]))).alias("hit"), F.greatest(m["upto"], s["end"]).alias("upto"))
+    out = found.select(
+        "doc_id", "n_words", F.aggregate("spans", nothing, grown, lambda m: m["hit"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256).alias("items_sha256"), F.size("near_items").cast("long").alias("n_near_items"),
+    )
+    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
