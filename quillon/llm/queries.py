@@ -4,6 +4,7 @@ from quillon.llm.chat import OP5_SQL, op5_chat_formatting
 from quillon.llm.decontaminate import op4_benchmark_decontamination
 from quillon.llm.html import op8_html_extraction
 from quillon.llm.neardup import op9_minhash_near_dedup
+from quillon.llm.oracle import SQL as BY_DEFINITION
 from quillon.llm.packing import op3_best_fit_packing
 from quillon.llm.pii import op1_pii_pseudonyms
 from quillon.llm.quality import op2_quality_rules
@@ -18,4 +19,4 @@ QUERIES = {
         op9_minhash_near_dedup, op10_substring_dedup,
     )
 }
-SQL = {"op5_chat_formatting": OP5_SQL}
+SQL = {"op5_chat_formatting": OP5_SQL} | BY_DEFINITION

@@ -52,6 +52,37 @@ def test_chat_matches_sql(spark):
     assert sorted(map(tuple, got[list(want.columns)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
+BY_DEFINITION = ["op4_benchmark_decontamination", "op6_suffix_array_dedup", "op9_minhash_near_dedup", "op10_substring_dedup"]
+
+
+def same_as_sql(spark, name: str, folder: str, files: str = "") -> None:
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{folder}/{t}.parquet{files}'")
+    got, want = QUERIES[name](spark, folder).toPandas(), c.sql(SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns), name
+    rows = lambda d: sorted(map(str, d[sorted(want.columns)].astype({"doc_id": "Int64"}).values.tolist()))
+    assert rows(got) == rows(want), name
+
+
+def test_queries_match_sql(spark):
+    for name in BY_DEFINITION:
+        same_as_sql(spark, name, DATA)
+
+
+def test_queries_match_sql_on_hard_rows(spark, tmp_path):
+    """Null, empty and very short texts, other scripts, repeated rows, copies, near copies, shared passages, self-overlap."""
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(rng.choice(["alpha", "Beta", "gamma,", "d\u00e9j\u00e0", "\u6f22\u5b57", "x", "it's", "\U0001f600"], n))
+    base, passage, item = some(400), some(120), some(20)
+    texts = [None, "", " \n\t", "one", "Two words", base, base, base.replace("alpha", "other", 1), base + " end", f"{some(90)} {passage} {some(80)}", f"{passage} {some(10)} {passage}", f"{some(30)}\n{item.upper()} {some(30)}", item, "ab " * 400, "z" * 900]
+    rows = [*enumerate(texts), (5, base), (5, base), (3, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as a", "doc_id as k", "1 as token").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, "one"), (2, "two words"), (3, None), (None, item), (4, ""), (5, passage), (10, some(14))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name in BY_DEFINITION:
+        same_as_sql(spark, name, str(tmp_path), "/*.parquet")
+
+
 def test_chat_matches_sql_on_ties(spark, tmp_path):
     rows = [(c, t, role, text) for c in (1, 2, None) for t in (0, 1, None) for role in ("user", "assistant", None, "z") for text in ("b", "a", None, "###", "a", "</turn>\\h")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
