@@ -10,7 +10,11 @@ in it belong to it too, and so do headings beside it. Where content stands both
 an article and outside any, what is outside counts only if its element holds
 content. Elements that
 their tag or class says are furniture (menus, notices, adverts, forms, comments
-...) take no part, nor do menus: blocks outside an article or main that hold two
+...) take no part. Where the class word also has everyday uses (share, related,
+alert ...) and the element is in an article or main, the path scores decide: it
+stays if most of its text is content or it holds the title. A form stays if it
+holds most of the page, as where it wraps all of it; class words inside code don't
+count. Nor do menus take part: blocks outside an article or main that hold two
 links or more of few words each, no heading and no word outside the links, and
 stand before or after all content. A link counts with the block it stands in, so
 links in sentences, headings and lists of the article are kept.
@@ -28,6 +32,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from itertools import takewhile
 
 import numpy as np
@@ -39,16 +44,24 @@ TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "label", "option", "video", "audio", "map"}
+FURNITURE = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "head", "fieldset", "label", "option", "video", "audio", "map"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "ruby", "rt", "rp", "img", "br", "wbr"}
 #: Words of class, id or role that mark furniture.
 MARKS = set("ad ads advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toc toolbar widget widgets alert complementary contentinfo search login header topbar skip".split())
+#: Of MARKS, those that say nothing by themselves of an element in an article.
+DOUBTED = {"alert", "header", "login", "notice", "notices", "related", "replies", "reply", "respond", "search", "share", "sharing", "skip", "social", "toc", "toolbar", "widget", "widgets"}
+#: "with-sidebar" isn't a sidebar, and "post-header" isn't the page's header.
+UNMARKED = {"has", "hide", "no", "with", "without"}
+TITLED = {"article", "content", "entry", "post", "story"}
 #: An open element of these ends when one of the named tags begins.
 ENDS = {"p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"table", "button", "td", "th", "article", "section", "div", "body", "blockquote", "li"}, "option": {"select"}}
 LEAVES = {"h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "dl", "figure", "hgroup"}
 WHOLE = {"article", "main", "body", "section"}
 DECLARED = {"article", "main"}
+CODE = {"pre", "code"}
+WATCHED = DECLARED | CODE | {"a"}
+DEPTH = 512
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that are never a menu by themselves.
 NO_MENU = INLINE | HEADINGS | {"", "html", "body", "article", "main", "li", "dt", "dd", "tr", "td", "th"}
@@ -58,21 +71,37 @@ PUNCTUATION = re.compile(r"[.,;:!?\u2026\u3001\u3002\uff0c\uff01\uff1f\u00bf\u00
 SHARE = 0.3
 
 
-def _marked(tag: str, rest: str, inside: bool) -> bool:
-    """Whether a start tag opens furniture; a header inside an article or main holds its headings and stays."""
+def _words(rest: str) -> set[str]:
+    """The furniture words in a start tag's class, id and role."""
+    found = set()
+    for m in NAMES.finditer(rest):
+        before = ""
+        for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1]).lower()):
+            if w in MARKS and before not in UNMARKED and not (w == "header" and before in TITLED):
+                found.add(w)
+            before = w
+    return found
+
+
+def _marked(tag: str, rest: str, inside: bool, code: bool) -> bool | None:
+    """Whether a start tag opens furniture; None if the path scores must say. A header inside an article or main holds its headings and stays."""
+    if tag == "form":
+        return None
     if tag in FURNITURE or tag == "header" and not inside:
         return True
-    if tag in ("html", "body", "main", "article") or "=" not in rest:
+    if tag in ("html", "body", "main", "article") or len(rest) < 3:
         return False
     if re.search(r"\bhidden\b(?!\s*=\s*[\"']?until)", re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)) or re.search(r"display\s*:\s*none", rest, re.I):
         return True
-    return any(w in MARKS for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1]).lower()))
+    words = set() if code else _words(rest)
+    return None if inside and words and words <= DOUBTED else bool(words)
 
 
-def nodes(html: str) -> list[tuple[tuple[int, ...], str, int, bool, str]]:
-    """(elements from the root, tag path, block, whether in a link, text) of each text node outside furniture."""
+def nodes(html: str) -> tuple[list[tuple[tuple[int, ...], str, int, bool, str]], dict[int, str]]:
+    """(elements from the root, tag path, block, whether in a link, text) of each text node outside furniture, and the tags of elements in doubt."""
     out: list = []
-    stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]  # tag, element, furniture, path
+    doubted: dict[int, str] = {}
+    stack: list[tuple[str, tuple[int, ...], bool, str, frozenset[str]]] = [("", (0,), False, "", frozenset())]  # tag, elements, furniture, path, tags that matter below
     made, block, at, n = 0, 0, 0, len(html)
     while at < n:
         m = TAG.search(html, at)
@@ -82,7 +111,7 @@ def nodes(html: str) -> list[tuple[tuple[int, ...], str, int, bool, str]]:
                 if out and out[-1][2] == block:
                     out.append((out[-1][0], out[-1][1], block, out[-1][3], " "))
             else:
-                out.append((tuple(e[1] for e in stack), stack[-1][3], block, any(e[0] == "a" for e in stack), text))
+                out.append((stack[-1][1], stack[-1][3], block, "a" in stack[-1][4], text))
         if not m:
             break
         at = m.end()
@@ -116,9 +145,15 @@ def nodes(html: str) -> list[tuple[tuple[int, ...], str, int, bool, str]]:
             if tag == "body":  # what a head left open ends here
                 del stack[1 + (len(stack) > 1 and stack[1][0] == "html") :]
             made += 1
-            inside = any(e[0] in ("article", "main") for e in stack)
-            stack.append((tag, made, stack[-1][2] or _marked(tag, m[3], inside), f"{stack[-1][3]}/{tag}"))
-    return out
+            _, elements, furniture, path, around = stack[-1]
+            marked = _marked(tag, m[3], not DECLARED.isdisjoint(around), not CODE.isdisjoint(around))
+            if marked is None and not furniture:
+                doubted[made] = tag
+            if len(stack) > DEPTH:  # deeper elements stand side by side, as in browsers
+                stack.pop()
+                elements, path = stack[-1][1], stack[-1][3]
+            stack.append((tag, (*elements, made), furniture or bool(marked), f"{path}/{tag}{' ?' if marked is None else ''}", around | {tag} if tag in WATCHED else around))
+    return out, doubted
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -198,12 +233,8 @@ def _article(found: list, real: list[int], tags: dict[int, list[str]], chosen: l
     return kept
 
 
-def main_text(html: str | None) -> str:
-    found = nodes(html) if html else []
-    found = [(e, p, b, a, entities.unescape(t)) for e, p, b, a, t in found]
-    real = [k for k, x in enumerate(found) if x[4].strip()]
-    if not real:
-        return ""
+def _scored(found: list, real: list[int], tags: dict[int, list[str]], smooth: Callable[[np.ndarray], np.ndarray] = _smooth) -> tuple[np.ndarray, set[int]]:
+    """Whether each text node is content by the ratios of its path, and the nodes in menus."""
     sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
     for k in real:
         _, path, _, _, text = found[k]
@@ -211,11 +242,46 @@ def main_text(html: str | None) -> str:
     length = np.array([sums[found[k][1]][1] / sums[found[k][1]][0] for k in real])
     marks = np.array([sums[found[k][1]][2] / sums[found[k][1]][0] for k in real])
     own = np.array([len(found[k][4].strip()) for k in real], float)
-    tags = {k: found[k][1].split("/") for k in real}
     menus = _menus(found, real, tags)
     linked = _linked(found, real, tags) | np.array([k in menus for k in real])
-    fused = np.sqrt(_smooth(length) * (_smooth(marks) + 0.5)) * ~linked
+    fused = np.sqrt(smooth(length) * (smooth(marks) + 0.5)) * ~linked
     content = (fused >= SHARE * np.average(fused, weights=own)) & ~linked if fused.any() else np.array([k not in menus for k in real])
+    return content, menus
+
+
+def _refused(found: list, real: list[int], tags: dict[int, list[str]], doubted: dict[int, str]) -> set[int]:
+    """The elements in doubt that are furniture: forms first, then what its own paths' scores, unsmoothed, don't speak for."""
+    size: Counter = Counter()
+    for k in real:
+        n = len(found[k][4].strip())
+        size[0] += n
+        size.update(dict.fromkeys(doubted.keys() & set(found[k][0]), n))
+    refused = {e for e, tag in doubted.items() if tag == "form" and 2 * size[e] <= size[0]}
+    left = [k for k in real if refused.isdisjoint(found[k][0])]
+    others = {e for e, tag in doubted.items() if tag != "form"}
+    if not left or not others:
+        return refused
+    good: Counter = Counter()
+    for k, content in zip(left, _scored(found, left, tags, lambda x: x)[0], strict=True):
+        for e in others & set(found[k][0]):
+            if "h1" in tags[k]:
+                good[e] = size[0]
+            elif content:
+                good[e] += len(found[k][4].strip())
+    return refused | {e for e in others if 2 * good[e] <= size[e]}
+
+
+def main_text(html: str | None) -> str:
+    found, doubted = nodes(html) if html else ([], {})
+    found = [(e, p, b, a, entities.unescape(t)) for e, p, b, a, t in found]
+    split = {path: [t.partition(" ")[0] for t in path.split("/")] for path in {x[1] for x in found}}
+    tags = {k: split[x[1]] for k, x in enumerate(found)}
+    real = [k for k, x in enumerate(found) if x[4].strip()]
+    refused = _refused(found, real, tags, doubted) if doubted else set()
+    real = [k for k in real if refused.isdisjoint(found[k][0])]
+    if not real:
+        return ""
+    content, menus = _scored(found, real, tags)
     chosen = [k for k, x in zip(real, content, strict=True) if x]
     if not chosen:
         return ""
@@ -223,7 +289,7 @@ def main_text(html: str | None) -> str:
     blocks: dict[int, list[str]] = {}
     drop = {k for k in menus if not chosen[0] < k < chosen[-1]}
     for k, (elements, _, block, _, text) in enumerate(found):
-        if k not in drop and not kept.isdisjoint(elements):
+        if k not in drop and not kept.isdisjoint(elements) and refused.isdisjoint(elements):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)

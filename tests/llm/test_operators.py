@@ -423,6 +423,54 @@ def test_html_keeps_all_content():
     assert html.main_text(f"<body><h1>T</h1><div>{body}</div></body>") == "\n".join(["T", *text])
 
 
+def test_html_class_words_alone_remove_nothing_from_an_article():
+    """Layouts with everyday class words, by what stays of each: words in doubt leave only where the path scores agree."""
+    long = "A sentence of the article, with several clauses, so that it counts; it goes on."
+    body = f"<p>{long}</p>" * 3
+    text = [long] * 3
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>"
+    foot = "<footer>By us, in 2020, with all rights reserved.</footer>"
+    links = "<a href=1>One</a> <a href=2>Two</a>"
+    stays = [
+        (f"<div class=post-header><h1>Real title</h1></div>{body}", ["Real title", *text]),
+        (f"<div class=header><h1>Real title</h1></div>{body}", ["Real title", *text]),
+        (f"<header><h1>Real title</h1></header>{body}", ["Real title", *text]),
+        (f"<h1>T</h1>{body}<div class=alert><p>{long}</p></div>", ["T", *text, long]),
+        (f"<h1>T</h1>{body}<div class=notice><p>{long}</p></div><p>{long}</p>", ["T", *text, long, long]),
+        (f"<h1>T</h1>{body}<section id=related><p>{long}</p></section>", ["T", *text, long]),
+        (f"<h1>T</h1>{body}<p class=share-price>{long}</p>", ["T", *text, long]),
+        (f"<h1>T</h1><div class='row with-sidebar'>{body}</div>", ["T", *text]),
+        (f"<h1>T</h1><div class='noSidebar has-ads'>{body}</div>", ["T", *text]),
+        (f"<h1>T</h1>{body}<pre><code><span class=comment>// what it does</span> run();</code></pre><p>{long}</p>", ["T", *text, "// what it does run();", long]),
+        (f"<h1>T</h1>{body}<div class=share>{links}</div>", ["T", *text]),
+        (f"<h1>T</h1>{body}<div class=related><h3>More</h3><ul><li>{links}</li></ul></div>", ["T", *text]),
+        (f"<h1>T</h1>{body}<div class=search><input> Go</div>", ["T", *text]),
+        (f"<h1>T</h1><div class=ad><p>{long}</p></div>{body}", ["T", *text]),
+        (f"<h1>T</h1><div class=newsletter><p>{long}</p></div>{body}", ["T", *text]),
+        (f"<h1>T</h1>{body}<section class=comments><article><p>{long}</p></article><div class=reply>{long}</div></section>", ["T", *text]),
+        (f"<h1>T</h1>{body}<form class=search><p>{long}</p></form>", ["T", *text]),
+        (f"<h1>T</h1>{body}<aside><p>{long}</p></aside>", ["T", *text]),
+        (f"<h1>T</h1>{body}<p hidden>{long}</p>", ["T", *text]),
+        (f"<h1>T</h1>{body}<article><h2>Nested</h2><p>{long}</p></article>", ["T", *text, "Nested", long]),
+    ]
+    for inner, want in stays:
+        for tag in ("article", "main"):
+            assert html.main_text(f"<body>{menu}<{tag}>{inner}</{tag}>{foot}</body>") == "\n".join(want), inner
+            assert html.main_text(f"<body><form id=all>{menu}<div><{tag}>{inner}</{tag}></div>{foot}</form></body>") == "\n".join(want), inner
+    assert html.main_text(f"<body><div class=cookie-notice><p>{long}</p></div><div class=notice><p>{long}</p></div><article>{body}</article></body>") == "\n".join(text)
+
+
+def test_html_of_long_and_deep_pages(spark):
+    long = "A sentence of the article, with several clauses, so that it counts; it goes on."
+    many = f"<article>{f'<p>{long}' * 20000}</article>"
+    deep = "<article>" + "<b>" * 30000 + f"<p>{long}</p>" + f"<div>{long}" * 5000
+    given = [(1, "u", many, "x", 1), (2, "u", deep, "y", 2), (2, "u", deep, "z", 3), (None, "u", f"<p>{long}", None, 4)]
+    out = html.extract(spark.createDataFrame(given, "page_id long, url string, html string, text string, n_chars int"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    want = [(1, [long] * 20000), (2, [long] * 5001), (2, [long] * 5001), (None, [long])]
+    assert Counter(map(tuple, out.collect())) == Counter((i, "u", "\n".join(x), len("\n".join(x))) for i, x in want)
+
+
 def test_substring_dedup_of_repeats_in_one_document(spark):
     """Every copy of a run in its smallest document loses what an earlier document has, not the first copy only."""
     word = iter(range(10**6))
