@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, Texts, arrow_map, pick, stored, word_hashes, words
 
 SIZE = 2048
-CACHE_UNITS = 50_000
+CACHE_UNITS = 400_000  # of an Encoder: 12 MB
 ROWS_PER_GROUP, MOST_GROUPS = 1000, 4096
 
 #: What a tokenizer must encode unit by unit as it does whole, for parts() to be used.
@@ -76,8 +76,17 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, begin, end, np.searchsorted(begin, offsets), ~strange[word]
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + count[0] - 1, then those from start[1] on, and so on."""
+    total = np.cumsum(count, dtype=np.int64)
+    return np.repeat(start - total + count, count) + np.arange(total[-1] if len(total) else 0)
+
+
 class Encoder:
-    """Token ids of texts, from the ids of their units; those of the last units seen are kept (it has no effect on results)."""
+    """Token ids of texts, from the ids of their units. Units seen are kept in arrays sorted by hash; this has no effect on results.
+
+    Beyond CACHE_UNITS, those that weren't met again since the last such clearing go.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,8 +96,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a unit
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        # of each unit: its hash, where its ids begin in self.ids, how many they are, and whether it was met again
+        self.keys, self.start, self.size, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.ids = np.zeros(0, "<u4")
         # whether the tokenizer treats units as parts() takes them; if not, texts are encoded whole
         self.by_units = True
         t = Texts(pa.array([PROBE, PROBE.upper(), PROBE.title()]))
@@ -96,30 +106,39 @@ class Encoder:
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        ids = [self._one(raw[a:z].decode()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
-
-    def _one(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encoded(self, units: list[str], plain: list[bool]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(units)
-        easy = [k for k, x in enumerate(plain) if x]
+        ids = [self._one(raw[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([0, *map(len, ids)])
+
+    def _one(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _units(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one unit after the other, and how many each has: plain ones are encoded together, with spaces between."""
+        found: list[np.ndarray] = []
+        size = np.zeros(len(begin), np.int32)
+        order = np.argsort(~plain, kind="stable")  # plain ones first
+        easy, hard = np.split(order, [int(plain.sum())])
         for lo in range(0, len(easy), 1000):
             part = easy[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join([units[k] for k in part]), add_special_tokens=False).ids, "<u4")
+            long = end[part] - begin[part]
+            at = np.cumsum(long + 1) - long - 1
+            line = np.full(at[-1] + long[-1], 0x20, np.uint8)
+            line[spread(at, long)] = data[spread(begin[part], long)]
+            ids = self._one(line.tobytes())
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                for n, k in enumerate(part):
-                    out[k] = raw[at[n] : at[n + 1]]
+                found.append(ids)
+                size[part] = np.diff(ends, prepend=0)
             else:  # a tokenizer without such tokens
                 for k in part:
-                    out[k] = self._one(units[k])
-        for k, x in enumerate(plain):
-            if not x:
-                out[k] = self._one(units[k])
-        return out
+                    found.append(self._one(data[begin[k] : end[k]].tobytes()))
+                    size[k] = len(found[-1])
+        for k in hard:
+            found.append(self._one(data[begin[k] : end[k]].tobytes()))
+            size[k] = len(found[-1])
+        ids, start = np.concatenate(found), np.empty(len(size), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return ids[spread(start, size)], size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and where each row's begin (and one more)."""
@@ -129,22 +148,27 @@ class Encoder:
         if not len(begin):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         hashes, at, unit = np.unique(word_hashes(low, begin, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        young, old = self.young, self.old
-        found = [young.get(x) or old.get(x) for x in keys]
-        new = [k for k, x in enumerate(found) if x is None]
-        raw = low.tobytes()
-        texts = [raw[begin[i] : end[i]].decode() for i in at[new].tolist()] if new else []
-        for k, x in zip(new, self._encoded(texts, plain[at[new]].tolist()), strict=True):
-            found[k] = x
-        if len(young) + len(keys) > CACHE_UNITS:
-            self.old, self.young = young, {}
-        self.young.update(zip(keys, found, strict=True))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        count = size[unit]
-        total = np.concatenate(([0], np.cumsum(count)))
-        return ids[np.repeat(start[unit] - total[:-1], count) + np.arange(total[-1])], total[first]
+        place = np.searchsorted(self.keys, hashes)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == hashes[known]
+        self.again[place[known]] = True
+        if not known.all():
+            new, at = place[~known], at[~known]
+            ids, size = self._units(low, begin[at], end[at], plain[at])
+            start = len(self.ids) + np.cumsum(size) - size
+            self.keys, self.start, self.size = np.insert(self.keys, new, hashes[~known]), np.insert(self.start, new, start), np.insert(self.size, new, size)
+            self.again, self.ids = np.insert(self.again, new, False), np.concatenate((self.ids, ids))
+            place = np.searchsorted(self.keys, hashes)
+        count = self.size[place][unit]
+        out = self.ids[spread(self.start[place][unit], count)]
+        if len(self.keys) > CACHE_UNITS:
+            self._clear()
+        return out, np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[first]
+
+    def _clear(self) -> None:
+        start, self.keys, self.size = self.start[self.again], self.keys[self.again], self.size[self.again]
+        self.ids = self.ids[spread(start, self.size)]
+        self.start, self.again = (np.cumsum(self.size) - self.size).astype(np.int32), np.zeros(len(self.keys), bool)
 
 
 _encoders: dict[str, Encoder] = {}

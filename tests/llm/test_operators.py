@@ -120,6 +120,44 @@ def test_packing_with_another_tokenizer():
         assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [raw.encode(x, add_special_tokens=False).ids for x in given]
 
 
+def test_packing_meets_units_again(monkeypatch):
+    """Units of an earlier chunk aren't encoded anew, and clearing the kept ones changes no ids."""
+    import pyarrow as pa
+    from quillon.llm.common import Texts
+
+    r = random.Random(5)
+    made = sorted({"".join(r.choices("abcdefghij\u00e9\u00fc", k=5)) for _ in range(130_000)})
+    given = [" ".join(made[k : k + 10_000]) for k in range(0, len(made), 10_000)]
+    odd = ["it's 2020 \u0416\u0443\u043a <|endoftext|> a_b \u6f22\u5b57 don't", "", "AB ab aB \u00c9\u00e9 \u00dc\u00fc 12 1 2"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = packing.Encoder(path)
+    raw, calls = e.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(raw, name)
+
+    def encoded(encoder, texts):
+        t = Texts(pa.array(texts))
+        ids, at = encoder.encode(t.data, t.offsets)
+        return [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)]
+
+    e.tokenizer = Counted()
+    once = [encoded(e, [x]) for x in given]
+    assert calls
+    calls.clear()
+    assert [encoded(e, [x]) for x in given] == once
+    assert not calls
+    want = [raw.encode(x, add_special_tokens=False).ids for x in odd]
+    monkeypatch.setattr(packing, "CACHE_UNITS", 12)
+    few = packing.Encoder(path)
+    for x in (0, 1, 2, 0, 2):
+        assert encoded(few, [odd[x]]) == [want[x]]
+    assert encoded(few, odd) == want
+    assert encoded(few, [given[0], *odd, given[0]]) == [once[0][0], *want, once[0][0]]
+
+
 def test_plan_uses_every_piece_once():
     r = random.Random(3)
     for _ in range(40):
